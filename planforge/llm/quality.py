@@ -24,8 +24,9 @@ MAX_LABELLED = 100_000
 #: PRIOR: n-grams of weight 1 that each bucket is taken to have beside those counted.
 #: CLEAR, SURE: log ratios count as 0 unless below -CLEAR and by SURE standard deviations of chance. So weights are at most 1: what is common in target text can't make up for a
 #: passage that target text would not hold, and neither chance nor length moves a document that has no such passage.
+#: LENGTH: a log weight is divided by sqrt(1 + words / LENGTH), as chance adds up by the root of a text's length.
 #: REJECT: the share of held-out good documents whose weight may lie below the threshold.
-PRIOR, CLEAR, SURE, REJECT, SEED = 3.0, 1.0, 4.5, 0.005, 29
+PRIOR, CLEAR, SURE, LENGTH, REJECT, SEED = 3.0, 2.0, 4.5, 200, 0.005, 29
 
 
 def _features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +74,8 @@ def _scorer(sent):
             texts, out = [_lowered(x) for x in b.column(2)], []
             for lo, hi in batches(texts):
                 bucket, doc = _features(texts[lo:hi])
-                out += np.bincount(doc, weight[bucket], minlength=hi - lo).tolist()
+                n = np.bincount(doc[bucket < BUCKETS], minlength=hi - lo)  # words
+                out += (np.bincount(doc, weight[bucket], minlength=hi - lo) / np.sqrt(1 + n / LENGTH)).tolist()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], names=["id", "row", "log_weight"])
 
     return score
