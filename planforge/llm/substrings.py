@@ -20,7 +20,7 @@ from .tokens import Joined, batches, grams, mixed, slide
 
 WINDOW, MINIMISER = 20, 4
 #: Bytes of packed strings that a bucket's task holds; bytes of text that a map task packs at a time.
-BUCKET, PACK = 24 << 20, 16 << 20
+BUCKET, PACK = 16 << 20, 12 << 20
 #: A minimiser with more than 1/HOT of all super-k-mers is hot (fewer than HOT are): its windows travel one by one, by their own hash.
 HOT = 2000
 _LAST = (1 << 63) - 1
@@ -78,7 +78,7 @@ def _packer(buckets: int, hot: list[int]):
         ids, out = [], []
         for bucket, rows in by.items():
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, _BLOB, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            with pa.ipc.new_stream(sink, _BLOB, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as w:
                 w.write_batch(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _BLOB.types)], schema=_BLOB))
             ids.append(bucket)
             out.append(sink.getvalue().to_pybytes())
