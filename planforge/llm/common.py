@@ -13,6 +13,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANK, MARKS = r"[ \t-\r]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A key with more than 1/SHARES of all rows is hot; so there are fewer than SHARES hot keys.
 SHARES, LEAST_HOT = 1000, 200
+#: So many short rows may be broadcast, after they have been counted.
+SMALL = 1_000_000
 
 
 def text_of(c: str | Column = "text") -> Column:
@@ -48,22 +50,30 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """df written once to the shared folder and read back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.parquet(path)
 
 
+def few(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """df, which is written and has short rows, for a join: broadcast if it has at most ``most`` of them, else shuffled."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def hot_limit(total: int) -> int:
     return max(LEAST_HOT, total // SHARES)
 
 
-def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "left", salt: str | None = None) -> DataFrame:
+def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "left", salt: str | None = None, short: bool = False) -> DataFrame:
     """rows join groups, which has one row a key and in ``size`` the key's rows.
 
     Hot keys (fewer than SHARES, so they are broadcast) are dealt out over salts, and their
-    one row in groups is repeated for each salt. Other keys have at most hot_limit rows.
+    one row in groups is repeated for each salt. Other keys have at most hot_limit rows. If groups is written
+    and its rows are ``short``, and it has at most SMALL of them, it is broadcast as a whole.
     """
+    if short and groups.count() <= SMALL:
+        return rows.join(F.broadcast(groups.withColumnRenamed(key, "_key")), F.col(key).eqNullSafe(F.col("_key")), how).drop("_key")
     limit = hot_limit(total)
     hot = groups.filter(F.col(size) > limit).select(F.col(key).alias("_hot"), F.ceil(F.col(size) / limit).cast("int").alias("_salts"))
     left = rows.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot")), "left")

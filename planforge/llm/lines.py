@@ -14,24 +14,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK, attach, cut, row_key, text_of, words_of
+from .common import attach, cut, few, row_key, text_of
 
 LEAST = 5
 
 
-def _lines(docs: DataFrame, text: str) -> DataFrame:
-    """(row, doc, pos, w, n, l1, l2): a row per line that has a word; l1, l2 tell its words."""
-    each = docs.select("row", "doc", F.posexplode(F.split(text_of(text), "\n")).alias("pos", "line"))
-    each = each.select("row", "doc", "pos", words_of(F.col("line"), BLANK).alias("w")).filter(F.size("w") > 0)
-    return each.withColumns({"n": F.size("w"), "l1": F.xxhash64("w"), "l2": F.xxhash64(F.lit(1), F.reverse("w"))})
+def _words(line: Column) -> Column:
+    plain = F.when(F.rlike(line, F.lit(r"[\t\x0B\f\r]")), F.translate(line, "\t\x0b\f\r", "    ")).otherwise(line)
+    return F.array_remove(F.split(plain, " "), "")
+
+
+def _lines(docs: DataFrame, least: int) -> DataFrame:
+    """(row, doc, pos, l1, l2, halves): a row per line that has a word; l1, l2 tell its words; halves from least words on."""
+    each = docs.select("row", "doc", F.posexplode(F.split(text_of("t"), "\n")).alias("pos", "line"))
+    each = each.select("row", "doc", "pos", _words(F.col("line")).alias("w")).filter(F.size("w") > 0).withColumn("n", F.size("w"))
+    return each.select("row", "doc", "pos", F.xxhash64("w").alias("l1"), F.xxhash64(F.lit(1), "w").alias("l2"), F.when(F.col("n") >= least, _halves()).alias("halves"))
 
 
 def _halves() -> Column:
     """Keys of the first and the last n/2 and (n-1)/2 words: lines one edit apart have one in common."""
     n = F.col("n")
     long_, short = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    keys = [F.xxhash64(F.lit(side), c, F.slice("w", F.lit(1) if side == 0 else n - c + 1, c)) for c in (long_, short) for side in (0, 1)]
-    return F.array_distinct(F.array(*keys))
+
+    def keys(c):
+        return [F.xxhash64(F.lit(side), c, F.slice("w", F.lit(1) if side == 0 else n - c + 1, c)) for side in (0, 1)]
+
+    return F.when(long_ == short, F.array(*keys(long_))).otherwise(F.array(*keys(long_), *keys(short)))
 
 
 def _place(j: Column, salt: int) -> Column:
@@ -39,8 +47,8 @@ def _place(j: Column, salt: int) -> Column:
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """(k1, k2, i, l1, l2, doc, pos): the line itself (i = 0) and without word i (from 1)."""
-    each = lines.select("l1", "l2", F.size("w").alias("n"), "doc", "pos", F.posexplode("w").alias("j", "x"))
+    """(k1, k2, i, l1, l2): the line itself (i = 0) and without word i (from 1). lines stand by l1, l2 already."""
+    each = lines.select("l1", "l2", F.size("w").alias("n"), F.posexplode("w").alias("j", "x"))
     to = Window.partitionBy("l1", "l2").orderBy("j")
     sums = {}
     for s in (1, 2):
@@ -49,8 +57,8 @@ def _variants(lines: DataFrame) -> DataFrame:
     own = {f"g{s}": _place(F.col("j"), s) for s in (1, 2)} | {f"f{s}": F.sum(_place(F.col("j") - 1, s)).over(every) for s in (1, 2)}
     each = each.withColumns(sums).withColumns(own)
     without = [(F.col(f"a{s}") - F.col(f"g{s}") + F.col(f"f{s}") - F.col(f"b{s}")).alias(f"k{s}") for s in (1, 2)]
-    out = each.select(*without, (F.col("j") + 1).alias("i"), "l1", "l2", "doc", "pos")
-    last = each.filter(F.col("j") == F.col("n") - 1).select(F.col("a1").alias("k1"), F.col("a2").alias("k2"), F.lit(0).alias("i"), "l1", "l2", "doc", "pos")
+    out = each.select(*without, (F.col("j") + 1).alias("i"), "l1", "l2")
+    last = each.filter(F.col("j") == F.col("n") - 1).select(F.col("a1").alias("k1"), F.col("a2").alias("k2"), F.lit(0).alias("i"), "l1", "l2")
     return out.unionAll(last)
 
 
@@ -60,17 +68,17 @@ def _without(w: Column, i: Column) -> Column:
 
 def _near(first: DataFrame, words: DataFrame, total: int) -> DataFrame:
     """(l1, l2) of lines that an earlier line is one word edit away from. first: l1, l2, doc, pos of distinct candidates."""
-    lines = words.join(first, ["l1", "l2"])
-    v = cut(_variants(lines).withColumn("key", F.xxhash64("k1", "k2")), "variants")
+    every = cut(_variants(words.repartition("l1", "l2")).select(F.xxhash64("k1", "k2").alias("key"), "i", "l1", "l2"), "variants")
+    met = cut(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "met")
+    v = cut(every.join(few(met), "key", "left_semi").join(few(first), ["l1", "l2"]), "met")
     who = F.struct(F.col("doc").isNull().alias("z"), "doc", "pos", "l1", "l2", "i")
     # the same word left out: one changed word. None left out on one side: one word put in or left out.
-    apart = v.groupBy("key", "i").agg(F.min(who).alias("m"), F.count(F.lit(1)).alias("n"))
-    apart = cut(apart, "apart")
-    several = apart.groupBy("key").agg(F.sum("n").alias("all"), F.min(F.when(F.col("i") > 0, F.col("m"))).alias("some"), F.min(F.when(F.col("i") == 0, F.col("m"))).alias("itself")).filter("all > 1")
+    apart = cut(v.groupBy("key", "i").agg(F.min(who).alias("m"), F.count(F.lit(1)).alias("n")), "apart")
+    several = apart.groupBy("key").agg(F.min(F.when(F.col("i") > 0, F.col("m"))).alias("some"), F.min(F.when(F.col("i") == 0, F.col("m"))).alias("itself"))
     best = apart.join(several, "key").select("key", "i", F.when(F.col("i") == 0, F.col("some")).otherwise(F.least("m", "itself")).alias("m"), "n")
-    best = best.filter("m is not null").withColumn("at", F.struct("key", "i"))
-    mine = v.withColumn("at", F.struct("key", "i")).withColumn("me", who).select("at", "me")
-    links = attach(mine, best.select("at", "m", "n"), "at", "n", total, "inner").filter(F.col("m") < F.col("me"))
+    best = best.filter("m is not null").select(F.struct("key", "i").alias("at"), "m", "n")
+    mine = v.select(F.struct("key", "i").alias("at"), who.alias("me"))
+    links = attach(mine, best, "at", "n", total, "inner").filter(F.col("m") < F.col("me"))
     links = links.select("me.l1", "me.l2", F.col("me.i").alias("i"), F.col("m.l1").alias("o1"), F.col("m.l2").alias("o2"), F.col("m.i").alias("oi"))
     checked = links.join(words, ["l1", "l2"]).join(words.select(F.col("l1").alias("o1"), F.col("l2").alias("o2"), F.col("w").alias("ow")), ["o1", "o2"])
     return checked.filter(_without(F.col("w"), F.col("i")) == _without(F.col("ow"), F.col("oi"))).select("l1", "l2").distinct()
@@ -84,27 +92,31 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", leas
     goes if an earlier one is near, whether or not that one stays. Lines without words stay. Null text stays null. An
     empty table gives no rows. Columns named row, doc or pos do no harm. Words are compared as they are.
     """
-    spark = docs.sparkSession
     keyed = docs.select(F.col(id_col).alias("doc"), F.col(text).alias("t"), row_key(id_col, text).alias("row"))
-    every = _lines(keyed, "t")
-    narrow = every.select("row", "doc", "pos", "l1", "l2", F.when(F.col("n") >= least, _halves()).alias("halves"))
+    every = cut(_lines(keyed, least), "lines")
+    total, line = every.count(), F.struct("l1", "l2").alias("line")
+    halves = every.select("l1", "l2", F.explode("halves").alias("half"))
+    shared = cut(halves.groupBy("half").agg(F.min("l1").alias("a"), F.max("l1").alias("b")).filter("a <> b").select("half"), "shared")
+    able = halves.join(few(shared), "half", "left_semi").select(line).distinct().withColumn("able", F.lit(True))
+    repeated = every.groupBy("l1", "l2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(line, "n")
+    wanted = cut(repeated.join(able, "line", "full").withColumn("n", F.coalesce("n", F.lit(1))), "wanted")
+    places = cut(attach(every.select("row", "doc", "pos", line), wanted, "line", "n", total, "inner", short=True), "places")
     order = F.struct(F.col("doc").isNull().alias("z"), "doc", "row", "pos")
-    first = narrow.groupBy("l1", "l2").agg(F.min(order).alias("m"), F.count(F.lit(1)).alias("n"), F.any_value("halves").alias("halves"))
-    first = cut(first.select("l1", "l2", F.col("m.doc").alias("doc"), F.col("m.row").alias("frow"), F.col("m.pos").alias("pos"), "n", "halves"), "lines")
-    halves = first.select("l1", "l2", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("half")
-    able = cut(halves.join(shared, "half", "left_semi").select("l1", "l2").distinct(), "able")
-    n_able, n_lines = able.count(), first.agg(F.sum("n")).first()[0] or 0
-    small = F.broadcast(able) if n_able <= 1_000_000 else able  # 16 bytes each
-    words = every.select("row", "pos", "l1", "l2", "w").join(small, ["l1", "l2"], "left_semi")
-    firsts = first.select("l1", "l2", F.col("frow").alias("row"), "pos")
-    words = cut(words.join(firsts, ["l1", "l2", "row", "pos"], "left_semi").select("l1", "l2", "w").dropDuplicates(["l1", "l2"]), "words")
-    near = _near(first.select("l1", "l2", "doc", F.struct("frow", "pos").alias("pos")).join(able, ["l1", "l2"], "left_semi"), words, n_able)
-    known = first.join(near.withColumn("near", F.lit(True)), ["l1", "l2"], "left").filter((F.col("n") > 1) | F.col("near"))
-    known = cut(known.select(F.struct("l1", "l2").alias("line"), "n", "frow", F.col("pos").alias("fpos"), F.coalesce("near", F.lit(False)).alias("near")), "known")
-    held = attach(narrow.select("row", "pos", F.struct("l1", "l2").alias("line")), known, "line", "n", int(n_lines), "inner")
-    gone = held.filter(F.col("near") | (F.col("row") != F.col("frow")) | (F.col("pos") != F.col("fpos"))).groupBy("row").agg(F.collect_set("pos").alias("_gone"))
-    out = docs.drop("n_lines", "n_removed").withColumn("_row", row_key(id_col, text)).join(gone.withColumnRenamed("row", "_row"), "_row", "left")
+    first = places.groupBy("line").agg(F.min(order).alias("m"), F.count(F.lit(1)).alias("n"), F.any_value("able").alias("able"))
+    first = cut(first.select("line", "n", F.col("m.doc").alias("doc"), F.col("m.row").alias("frow"), F.col("m.pos").alias("fpos"), "able"), "first")
+    candidates = cut(first.filter("able").select("line.l1", "line.l2", "doc", F.struct("frow", "fpos").alias("pos")), "able")
+    spots = cut(candidates.groupBy(F.col("pos.frow").alias("row")).agg(F.collect_list(F.struct(F.col("pos.fpos").alias("p"), "l1", "l2")).alias("spots")), "spots")
+    found = keyed.join(few(spots), "row")
+    found = found.select(F.split("t", "\n").alias("parts"), F.explode("spots").alias("s")).select("s.l1", "s.l2", _words(F.element_at("parts", F.col("s.p") + 1)).alias("w"))
+    words = cut(found.dropDuplicates(["l1", "l2"]), "words")
+    near = _near(candidates, words, candidates.count()).select(line, F.lit(True).alias("near"))
+    known = cut(first.drop("able", "doc").join(near, "line", "left").withColumn("near", F.coalesce("near", F.lit(False))), "known")
+    held = attach(places.select("row", "pos", "line"), known, "line", "n", total, "inner", short=True)
+    gone = held.filter(F.col("near") | (F.col("row") != F.col("frow")) | (F.col("pos") != F.col("fpos"))).groupBy(F.col("row").alias("_row")).agg(F.collect_set("pos").alias("_gone"))
+    gone = cut(gone, "gone")
+    if (gone.agg(F.sum(F.size("_gone"))).first()[0] or 0) <= 1_000_000:  # then the texts need not be shuffled
+        gone = F.broadcast(gone)
+    out = docs.drop("n_lines", "n_removed").withColumn("_row", row_key(id_col, text)).join(gone, "_row", "left")
     parts = F.split(F.col(text), "\n")
     kept = F.filter(parts, lambda x, i: ~F.array_contains("_gone", i))
     n = F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long")
