@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import BLANK, cut, text_of, words_of
 
-WEIGHTS, SHARE, CAP, BLOCK, SEED, RESERVE = (5.0, 2.0, 1.0), 1.5, 2.0, 20_000, 17, 64
+WEIGHTS, SHARE, CAP, BLOCK, SEED, RESERVE = (5.0, 2.0, 1.0), 1.5, 2.0, 4_000, 17, 64
 _TINY = 1e-9
 
 
