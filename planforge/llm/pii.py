@@ -107,8 +107,7 @@ def disclosures(rows: DataFrame, near: DataFrame, alpha: float = ALPHA, support:
         .groupBy("entity", "term").agg(F.count_distinct("_row").alias("n_et"), F.count_distinct("context").alias("contexts")).filter(F.col("contexts") >= support)
     )
     terms = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(ascii_lower(F.col("_text")), F.lit(TERM), 0))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    wanted = pairs.select("term").distinct()
-    known = pairs.join(n_e, "entity").join(terms.join(wanted, "term", "left_semi"), "term")
+    known = pairs.join(n_e, "entity").join(terms, "term")
     pmi = F.log2(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     ic = F.log2(F.lit(float(total)) / F.col("n_e"))
     return known.filter((ic > 0) & (pmi >= alpha * ic)).select("entity", "term")
