@@ -28,7 +28,7 @@ NOTICES = (
     ("cc-by-4.0", "licensed under cc by 4 0"),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0"),
 )
-COVER, NEAR = 0.8, 2
+COVER, NEAR = 0.85, 2
 
 
 def _templates(spark: SparkSession) -> DataFrame:

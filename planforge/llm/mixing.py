@@ -106,7 +106,7 @@ def _round(seed: int):
         rng = np.random.default_rng([seed, int(g["h"].iloc[0]) & 0xFFFFFFFF, len(g)])
         size, p = g["size"].to_numpy(), g["p"].to_numpy().astype(float)
         flies = np.ones(len(g), bool)
-        flies[np.unique(np.linspace(0, len(g) - 1, min(len(g), RESERVE)).astype(int))] = False
+        flies[np.unique(np.linspace(0, len(g) - 1, min(max(1, len(g) // 8), RESERVE)).astype(int))] = False
         p[flies] = flight(p[flies], size[flies], rng)
         return g.assign(p=landing(p, size, rng) if g["blocks"].iloc[0] == 1 else p).drop(columns="block")
 
@@ -121,6 +121,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     repeated rows are separate documents. An empty table gives no rows. The number of sources, not that
     of documents, is what the driver holds.
     """
+    block = max(block, 64)  # so that each round leaves less than it found
     rows = docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), F.size(words_of(text_of(text), BLANK)).cast("long").alias("size"))
     rows = cut(rows, "sizes")
     sizes = {r["source"]: r["s"] for r in rows.groupBy("source").agg(F.sum("size").alias("s")).collect()}
