@@ -15,6 +15,7 @@ BLANK, MARKS = r"[ \t-\r]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHARES, LEAST_HOT = 1000, 200
 #: So many short rows may be broadcast, after they have been counted.
 SMALL = 1_000_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def text_of(c: str | Column = "text") -> Column:
@@ -47,10 +48,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """df written once to the shared folder and read back: lineage ends here and survives lost executors."""
+    """df written once to the shared folder and read back: lineage ends here and survives lost executors.
+
+    What was shuffled to make it is removed from the executors' disks as soon as it is written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was) if was is not None else spark.conf.unset(CLEANUP)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.parquet(path)
