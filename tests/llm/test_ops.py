@@ -110,8 +110,8 @@ def brute_print(t):
     return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h)) if h else 0
 
 
-@pytest.mark.parametrize("direct", [128, 2])
-def test_simhash(spark, awkward, direct):
+@pytest.mark.parametrize("direct,whole,share", [(128, 1 << 20, 4000), (2, 1 << 20, 4000), (128, 0, 8), (1, 0, 8)])
+def test_simhash(spark, awkward, direct, whole, share):
     rng = random.Random(3)
     rows = list(awkward)
     long_ = sentence(rng, 300, 3000).split()
@@ -137,12 +137,44 @@ def test_simhash(spark, awkward, direct):
             least[root(k)] = min(i, least.get(root(k), i))
     want = Counter((i, prints[k], least.get(root(k))) for k, (i, *_) in enumerate(rows))
     docs = table(spark, rows)
-    assert Counter((i, fp % 2**64, c) for i, fp, c in got(simhash.near_groups(docs, direct=direct), "doc_id", "fp", "component_id")) == want
-    if direct == 128:
+    assert Counter((i, fp % 2**64, c) for i, fp, c in got(simhash.near_groups(docs, direct=direct, whole=whole, share=share), "doc_id", "fp", "component_id")) == want
+    if direct == 128 and whole:
         assert simhash.near_groups(table(spark, [])).count() == 0
         assert set(r[0] for r in got(simhash.drop_near(docs), "doc_id") if r[0] is not None) == set(least.values())
 
 
+@pytest.mark.parametrize("direct,whole,share", [(128, 1 << 20, 4000), (3, 1 << 20, 4000), (128, 0, 4), (3, 0, 4)])
+def test_links_reach_all_within_distance(spark, direct, whole, share):
+    """Crowded and hot variants lose no link: fingerprints about a few centres, a third of them with one upper segment."""
+    rng, fps = random.Random(9), set()
+    for centre in [rng.getrandbits(64) for _ in range(4)] + [0]:
+        for _ in range(120):
+            x = centre
+            for b in rng.sample(range(64) if centre else range(32), rng.randrange(5)):
+                x ^= 1 << b
+            fps.add(x)
+    fps |= {rng.getrandbits(64) for _ in range(100)} | {(1 << 64) - 1, (1 << 64) - 1 ^ 1 << 63}
+    signed, parent = sorted(x - (x >> 63 << 64) for x in fps), {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    def classes(pairs):
+        parent.clear()
+        for a, b in pairs:
+            parent[root(a)] = root(b)
+        out = {}
+        for x in signed:
+            out.setdefault(root(x), set()).add(x)
+        return {frozenset(c) for c in out.values()}
+
+    near = classes([(a, b) for k, a in enumerate(signed) for b in signed[:k] if ((a ^ b) % 2**64).bit_count() <= 2])
+    df = spark.createDataFrame([(x,) for x in signed], "fp long").repartition(3)
+    assert classes(got(simhash.links(df, direct, whole, share), "a", "b")) == near and 100 < len(near) < len(fps)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     assert {r.node: r.component for r in components(links).collect()} == {i: 0 for i in range(1, 41)} | {101: 100}
