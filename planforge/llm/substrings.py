@@ -24,7 +24,8 @@ BUCKET, PACK = 16 << 20, 12 << 20
 #: A minimiser with more than 1/HOT of all super-k-mers is hot (fewer than HOT are): its windows travel one by one, by their own hash.
 HOT = 2000
 _LAST = (1 << 63) - 1
-_BLOB = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("text", pa.binary())])
+#: doc: what to add to the doc before; size: bytes of text, or -1 for windows that are known to be repeats.
+_BLOB = pa.schema([("doc", pa.int64()), ("row", pa.uint32()), ("start", pa.int64()), ("n", pa.int32()), ("size", pa.int32())])
 
 
 def _normal(text: str | None) -> bytes:
@@ -65,6 +66,31 @@ def _weigh(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([*keys, None], pa.int64()), pa.array([*(c for _, c in found), total], pa.int64()), pa.array([0] * len(found) + [size], pa.int64())], names=["key", "n", "size"])
 
 
+def _wrapped(rows: list[tuple]) -> bytes:
+    """Columns of (doc, row, start, n, text) one after another, compressed as one."""
+    doc, row, start, n, text = zip(*rows)
+    size = np.array([-1 if t is None else len(t) for t in text])
+    columns = [np.diff(np.array(doc, np.int64), prepend=0), np.array(row), np.array(start), np.array(n), size]
+    planes = [np.ascontiguousarray(c.astype(t.to_pandas_dtype())).view(np.uint8).reshape(len(rows), -1).T.tobytes() for c, t in zip(columns, _BLOB.types)]  # bytes of like weight lie together
+    data = b"".join([len(rows).to_bytes(8, "little"), *planes, *[t for t in text if t is not None]])
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(data, asbytes=True)
+
+
+def _unwrapped(blob: pa.Buffer) -> Iterator[tuple]:
+    size = int.from_bytes(blob.slice(0, 8).to_pybytes(), "little")
+    data = pa.Codec("zstd").decompress(blob.slice(8), size, asbytes=True)
+    rows, at, columns = int.from_bytes(data[:8], "little"), 8, []
+    for t in _BLOB.types:
+        kind = np.dtype(t.to_pandas_dtype())
+        planes = np.frombuffer(data, np.uint8, rows * kind.itemsize, at).reshape(kind.itemsize, rows)
+        columns.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += rows * kind.itemsize
+    columns[0] = np.cumsum(columns[0])
+    for doc, row, start, n, size in zip(*(c.tolist() for c in columns)):
+        yield doc, row, start, n, None if size < 0 else data[at : at + size]
+        at += max(0, size)
+
+
 def _packer(buckets: int, hot: list[int]):
     hot_keys = np.sort(np.array(hot, np.int64).astype(np.uint64))
 
@@ -73,15 +99,12 @@ def _packer(buckets: int, hot: list[int]):
         by: dict[int, list] = {}
         for text, (doc, row, start, n, bucket) in held.items():
             by.setdefault(bucket, []).append((doc, row, start, n, text))
-        for i, (row, start, n) in enumerate(marks):
-            by.setdefault(i % buckets, []).append((0, row, start, n, None))
+        for i, (doc, row, start, n) in enumerate(marks):
+            by.setdefault(i % buckets, []).append((doc, row, start, n, None))
         ids, out = [], []
         for bucket, rows in by.items():
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, _BLOB, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as w:
-                w.write_batch(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _BLOB.types)], schema=_BLOB))
             ids.append(bucket)
-            out.append(sink.getvalue().to_pybytes())
+            out.append(_wrapped(rows))
         held.clear()
         marks.clear()
         if ids:
@@ -92,7 +115,7 @@ def _packer(buckets: int, hot: list[int]):
         marks: list = []
         size = 0
         for batch in rows:
-            docs = [_LAST if x is None else x for x in batch.column(0).to_pylist()]
+            docs = batch.column(0).to_pylist()
             keys = batch.column(1).to_pylist()
             texts = [_normal(x.as_py()) for x in batch.column(2)]
             for lo, hi in batches(texts):
@@ -117,7 +140,7 @@ def _packer(buckets: int, hot: list[int]):
                     if was is not one and was[:3] != one[:3]:
                         if one[:3] < was[:3]:
                             held[text], one = one, was
-                        marks.append(one[1:4])
+                        marks.append(one[:4])
                 size += sum(map(len, texts[lo:hi]))
                 if size > PACK:
                     yield from blobs(held, marks)
@@ -128,23 +151,22 @@ def _packer(buckets: int, hot: list[int]):
 
 
 def _repeats(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket's (row, start, n): n windows from start that an earlier one equals."""
+    """A bucket's (doc, row, start, n): n windows from start that an earlier one equals."""
     marks: list[tuple[np.ndarray, ...]] = []
     held: dict[bytes, tuple] = {}
     late: list = []
     for batch in rows:
         for blob in batch.column(1):
-            for part in pa.ipc.open_stream(blob.as_buffer()):
-                for doc, row, start, n, text in zip(*(c.to_pylist() for c in part.columns)):
-                    if text is None:
-                        late.append((row, start, n))
-                        continue
-                    one = (doc, row, start, n)
-                    was = held.setdefault(text, one)
-                    if was is not one and was[:3] != one[:3]:
-                        if one[:3] < was[:3]:
-                            held[text], one = one, was
-                        late.append(one[1:])
+            for *one, text in _unwrapped(blob.as_buffer()):
+                one = tuple(one)
+                if text is None:
+                    late.append(one)
+                    continue
+                was = held.setdefault(text, one)
+                if was is not one and was[:3] != one[:3]:
+                    if one[:3] < was[:3]:
+                        held[text], one = one, was
+                    late.append(one)
     if late:
         marks.append(tuple(np.array(c, np.int64) for c in zip(*late)))
     if held:
@@ -171,24 +193,29 @@ def _repeats(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             which = np.searchsorted(j.first, at[hit], side="right") - 1
             new = np.append(True, (np.diff(at[hit]) != 1) | (np.diff(which) != 0))
             n = np.diff(np.append(np.flatnonzero(new), len(hit)))
-            own = np.array([(v[1], v[2]) for _, v in order], np.int64)
+            own = np.array([v[:3] for _, v in order], np.int64)
             a, w = at[hit][new], which[new]
-            marks.append((own[w, 0], own[w, 1] + a - j.first[w], n))
+            marks.append((own[w, 0], own[w, 1], own[w, 2] + a - j.first[w], n))
     if marks:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*marks)], names=["row", "start", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*marks)], names=["doc", "row", "start", "n"])
+
+
+def _row_columns(id_col: str, text: str) -> list:
+    """doc and row, which tell a row: its id (null: the last) and 32 bits of its row_key()."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), row_key(id_col, text).bitwiseAND(0xFFFFFFFF).alias("row")]
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, start, n): n windows from word ``start`` of the rows with that row_key(id, text), each of which also starts earlier."""
+    """(doc, row, start, n): n windows from word ``start`` of the rows that _row_columns() name so, each of which also starts earlier."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), row_key(id_col, text).alias("row"), F.col(text).alias("text"))
+    rows = docs.select(*_row_columns(id_col, text), F.col(text).alias("text"))
     weighed = rows.mapInArrow(_weigh, "key long, n long, size long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
     weighed = cut(weighed, "weighed")
     total, size = (weighed.filter("key is null").select("n", "size").first() or (0, 0))
     hot = [r[0] for r in weighed.filter(f"key is not null and n * {2 * HOT} > {total}").select("key").collect()]  # fewer than 2 HOT
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size * 3.2 / BUCKET) + 1)
-    packed = rows.mapInArrow(_packer(4 * parts, hot), "bucket int, blob binary").repartition(parts, "bucket")
-    return packed.mapInArrow(_repeats, "row long, start long, n long")
+    packed = rows.mapInArrow(_packer(parts, hot), "bucket int, blob binary").repartitionById(parts, F.col("bucket"))
+    return packed.mapInArrow(_repeats, "doc long, row long, start long, n long")
 
 
 def _cut_text(text: str | None, marks: list | None) -> tuple[int, int, bytes]:
@@ -218,7 +245,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     the order is that of a hash, and rows that repeat id and text are one document, each with its result. Texts
     of fewer than WINDOW words have no window. An empty table gives no rows. Other columns are not read.
     """
-    marks = repeated_windows(docs, id_col, text).groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), row_key(id_col, text).alias("row"))
-    both = rows.join(marks, "row", "left").select("id", "text", "marks")
+    marks = repeated_windows(docs, id_col, text).groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), *_row_columns(id_col, text))
+    both = rows.join(cut(marks, "marks"), ["doc", "row"], "left").select("id", "text", "marks")
     return both.mapInArrow(_removed, "id long, n_words long, n_removed long, kept_sha256 string, kept string").withColumnRenamed("id", id_col)
