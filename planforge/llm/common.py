@@ -93,23 +93,44 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int,
     return left.join(right, F.col(key).eqNullSafe(F.col("_key")) & (left["_salt"] == right["_salt"]), how).drop("_salt", "_key")
 
 
+def held_as(value: Column, use) -> Column:
+    """use(value), with value computed once; inside lambdas an expression would be computed for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def blocks_of(array: Column, size: int) -> Column:
+    """A column's array (not empty) in arrays of ``size`` consecutive elements."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(array) - 1) / size).cast("int")), lambda b: F.slice(array, b * size + 1, size))
+
+
 def spans(text: Column, found: Column, pattern: str, kind: str, order: int, keep=None) -> Column:
     """array<start, kind_no, end, kind> in code points of the matches in ``found``, which
     regexp_extract_all(text, pattern, 0) made; what split() leaves between them gives the places.
-    ``keep(match)`` drops matches, but not the text that they take."""
+    ``keep(match)`` drops matches, but not the text that they take.
+
+    Places add up within blocks of matches and over the blocks' sums, so a text of very many matches does not copy its
+    result once for each of them."""
     gaps = F.split(text, pattern, -1)
     empty = F.array().cast("array<struct<start:long,no:int,end:long,kind:string>>")
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+    kept = keep or (lambda m: F.lit(True))
+    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(F.length(g).alias("gap"), F.length(m).alias("own"), kept(m).alias("kept")))
 
     def step(acc, x):
-        start = acc["pos"] + F.length(x["g"])
-        end = start + F.length(x["m"])
+        start = acc["pos"] + x["gap"]
+        end = start + x["own"]
         one = F.array(F.struct(start.alias("start"), F.lit(order).alias("no"), end.alias("end"), F.lit(kind).alias("kind")))
-        held = F.concat(acc["out"], one)
-        return F.struct(end.alias("pos"), (F.when(keep(x["m"]), held).otherwise(acc["out"]) if keep else held).alias("out"))
+        return F.struct(end.alias("pos"), F.when(x["kept"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+    def from_(pos, block):
+        return F.aggregate(block, F.struct(pos.alias("pos"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    def begins(blocks):
+        none = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast("array<bigint>").alias("out"))
+        length = lambda block: F.aggregate(block, F.lit(0).cast("long"), lambda n, x: n + x["gap"] + x["own"])
+        return F.aggregate(blocks, none, lambda acc, b: F.struct((acc["pos"] + length(b)).alias("pos"), F.concat(acc["out"], F.array(acc["pos"])).alias("out")), lambda acc: acc["out"])
 
-    seen = F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("pos"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, seen).otherwise(empty)
+    places = held_as(pairs, lambda p: held_as(blocks_of(p, 128), lambda bs: F.flatten(F.zip_with(begins(bs), bs, from_))))
+    return F.when(F.size(found) > 0, places).otherwise(empty)
 
 
 def span_text(array: Column) -> Column:

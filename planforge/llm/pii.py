@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, row_key, span_text, spans, text_of
+from .common import ascii_lower, blocks_of, cut, held_as, row_key, span_text, spans, text_of
 
 _EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 _IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
@@ -20,6 +20,8 @@ _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: ALPHA: share of an entity's information that a term may give; SUPPORT: different contexts that it takes
 #: to say so; REACH: code points on either side of an entity that are its context.
 ALPHA, SUPPORT, REACH = 0.8, 2, 80
+#: Code points of a text that are gone through to find one entity's context.
+TILE = 1024
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -74,28 +76,43 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("_spans", F.concat(*each)).drop(*[f"_m{i}" for i in range(len(KINDS))])
 
 
-def _entity(s: Column, text: Column) -> Column:
-    m = F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+def _entity(kind: Column, m: Column) -> Column:
     out = m
-    for kind, _, _, _, form in KINDS:
-        out = F.when(s["kind"] == kind, F.concat(F.lit(f"{kind}:"), form(m))).otherwise(out)
+    for name, _, _, _, form in KINDS:
+        out = F.when(kind == name, F.concat(F.lit(f"{name}:"), form(m))).otherwise(out)
     return out
 
 
+def _surroundings(c: Column, s: Column) -> Column:
+    """Of one span: the text around it from lo on, and the spans there. c has the text's tiles and its spans in blocks, so
+    neither the whole text nor all spans are gone through for each span."""
+    lo = F.greatest(s["start"] - REACH, F.lit(0))
+    first, last = F.floor(lo / TILE).cast("int"), F.floor((s["end"] + REACH - 1) / TILE).cast("int")
+    tiles = F.array_join(F.slice(c["tiles"], first + 1, last - first + 1), "")
+    near = F.substring(tiles, (lo - first * TILE + 1).cast("int"), (s["end"] + REACH - lo).cast("int"))
+    meets = lambda x: (x["start"] < s["end"] + REACH) & (x["end"] > lo)
+    others = F.filter(F.flatten(F.transform(F.filter(c["blocks"], meets), lambda b: b["all"])), meets)
+    return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), lo.alias("lo"), near.alias("near"), others.alias("all"))
+
+
 def _context(held: DataFrame) -> DataFrame:
     """(_row, entity, context, term, start, end): words near each entity, apart from those of entities themselves."""
-    e = held.select("_row", "_text", F.explode("_spans").alias("s"), F.col("_spans").alias("all"))
-    lo = F.greatest(F.col("s.start") - REACH, F.lit(0))
-    cutout = F.substring("_text", (lo + 1).cast("int"), (F.col("s.end") + REACH - lo).cast("int"))
-    e = e.select("_row", _entity(F.col("s"), F.col("_text")).alias("entity"), lo.alias("lo"), cutout.alias("near"), F.length("_text").alias("size"), "all")
-    e = e.withColumn("found", F.regexp_extract_all("near", F.lit(TERM), 0))
-    words = spans(F.col("near"), F.col("found"), TERM, "term", len(KINDS))
-    rows = e.select("_row", "entity", F.xxhash64("near").alias("context"), "near", "lo", "size", "all", F.explode(words).alias("w"))
-    start, end = F.col("w.start") + F.col("lo"), F.col("w.end") + F.col("lo")
-    whole = ((F.col("w.start") > 0) | (F.col("lo") == 0)) & ((F.col("w.end") < F.length("near")) | (end == F.col("size")))  # the cut may halve the outer words
-    free = ~F.exists("all", lambda s: (s["start"] < end) & (s["end"] > start))
-    term = F.substring("near", (F.col("w.start") + 1).cast("int"), (F.col("w.end") - F.col("w.start")).cast("int"))
-    return rows.filter(whole & free).select("_row", "entity", "context", ascii_lower(term).alias("term"), start.alias("start"), end.alias("end"))
+    tiles = F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{TILE}}}"), 0)
+    by_start = F.transform(F.array_sort("_spans"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    bounds = lambda b: F.struct(F.array_min(b)["start"].alias("start"), F.array_max(F.transform(b, lambda x: x["end"])).alias("end"), b.alias("all"))
+    blocks = held_as(by_start, lambda a: F.transform(blocks_of(a, 128), bounds))
+    around = held_as(F.struct(tiles.alias("tiles"), blocks.alias("blocks")), lambda c: F.transform("_spans", lambda s: _surroundings(c, s)))
+    e = held.select("_row", F.length("_text").alias("size"), around.alias("around")).select("_row", "size", F.explode("around").alias("s"))
+    own = F.substring("s.near", (F.col("s.start") - F.col("s.lo") + 1).cast("int"), (F.col("s.end") - F.col("s.start")).cast("int"))
+    e = e.select("_row", _entity(F.col("s.kind"), own).alias("entity"), "s.lo", "s.near", F.length("s.near").alias("length"), "size", "s.all", F.regexp_extract_all("s.near", F.lit(TERM), 0).alias("found"))
+    words = F.zip_with(spans(F.col("near"), F.col("found"), TERM, "term", len(KINDS)), "found", lambda w, f: F.struct(f.alias("term"), (w["start"] + F.col("lo")).alias("start"), (w["end"] + F.col("lo")).alias("end")))
+
+    def counts(w):  # whole (the cut may halve the outer words) and apart from all entities
+        whole = ((w["start"] > F.col("lo")) | (F.col("lo") == 0)) & ((w["end"] < F.col("lo") + F.col("length")) | (w["end"] == F.col("size")))
+        return whole & ~F.exists("all", lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"]))
+
+    rows = e.select("_row", "entity", F.xxhash64("near").alias("context"), F.explode(F.filter(words, counts)).alias("w"))
+    return rows.select("_row", "entity", "context", ascii_lower(F.col("w.term")).alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
 
 
 def disclosures(rows: DataFrame, near: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
