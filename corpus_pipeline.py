@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from planforge.llm import decontaminate, lines, mixing, quality, simhash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+SIMILAR = 0.8
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +24,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.drop_near(docs).select(COLUMNS)
+    """One document of each group of near copies stays: within two bits, or five-word shingles of Jaccard similarity SIMILAR."""
+    return simhash.drop_near(docs, similar=SIMILAR).select(COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

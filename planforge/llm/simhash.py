@@ -16,8 +16,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shingles
 from .components import components
-from .common import attach, cut
+from .common import attach, cut, row_key
 from .tokens import mixed
 
 DISTANCE, SEED, SHINGLE = 2, 42, 3
@@ -52,6 +53,15 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([b.column(0), prints], names=["id", "fp"])
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo in range(0, b.num_rows, 1024):
+            texts = [x.as_py() for x in b.column(1).slice(lo, 1024)]
+            sets = [shingles.shingles(t) for t in texts]
+            made = [([fingerprint(t) for t in texts], pa.int64()), ([shingles.digest(x) for x in sets], pa.int64()), ([len(x) for x in sets], pa.int64()), ([shingles.keys(x) for x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 1024), b.column(2).slice(lo, 1024), *[pa.array(*x) for x in made]], names=["id", "row", "fp", "s", "size", "bands"])
+
+
 def _keys(fps: np.ndarray, i: int) -> np.ndarray:
     """Variant i of unsigned fingerprints: the lower segment with bit i wiped out, or at UPPER the upper one; and i."""
     seg = fps >> np.uint64(32) if i == UPPER else fps & np.uint64(0xFFFFFFFF ^ (1 << i))
@@ -216,18 +226,28 @@ def links(prints: DataFrame, direct: int = DIRECT, whole: int = WHOLE, share: in
     return packed.mapInArrow(_linker(direct), "a long, b long")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar: float | None = None, **how) -> DataFrame:
     """One row per row of docs: id, fp (signed 64 bits), component_id (the least id reachable over links).
 
     Null text has no words; texts without words have fingerprint zero and are linked like any other.
     A null id is never a component's name, unless the component has no other id. Repeated rows each
     give their row; an empty table gives none. Other columns are not read. ``how`` goes to links().
+    With ``similar``, texts whose five-word shingles have that Jaccard similarity are linked too, which fingerprints
+    can't do: at 0.8 they differ in more bits than segments of 64 could index.
     """
     ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t"))
-    rows = cut(ids.mapInArrow(_fingerprints, "id long, fp long"), "prints")
+    if similar is None:
+        rows = cut(ids.mapInArrow(_fingerprints, "id long, fp long"), "prints")
+    else:
+        keyed = ids.withColumn("row", row_key("id", "t"))
+        rows = cut(keyed.mapInArrow(_sketches, "id long, row long, fp long, s long, size long, bands array<long>"), "prints")
     firsts = rows.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     firsts = cut(firsts, "firsts")
-    nodes = components(links(firsts.select("fp"), **how))
+    found = links(firsts.select("fp"), **how)
+    if similar is not None:
+        found = found.unionAll(shingles.ties(rows, keyed.select("row", "t"), similar))
+        rows = rows.select("id", "fp")
+    nodes = components(found)
     named = firsts.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     groups = cut(named.join(least, "component").select("fp", "n", "component_id"), "groups")
@@ -235,8 +255,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **h
     return out.select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the row of the least id of each component; all columns stay. Ids are taken to be distinct; rows without an id stay."""
-    found = near_groups(docs, id_col, text)
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """docs with the row of the least id of each component; all columns stay. Ids are taken to be distinct; rows without an id stay. ``how`` goes to near_groups()."""
+    found = near_groups(docs, id_col, text, **how)
     gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")

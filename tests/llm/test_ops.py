@@ -175,6 +175,26 @@ def test_links_reach_all_within_distance(spark, direct, whole, share):
     assert classes(got(simhash.links(df, direct, whole, share), "a", "b")) == near and 100 < len(near) < len(fps)
 
 
+def test_near_copies_of_pipeline(spark):
+    """Texts of five-word similarity 0.8 or more are grouped though their fingerprints are further apart; others are not."""
+    import corpus_pipeline as c
+
+    rng, rows = random.Random(11), []
+    for i in range(40):
+        w = sentence(rng, 120, 5000).split()
+        rows += [(3 * i, " ".join(w)), (3 * i + 1, " ".join([*w[:60], "new", "words", *w[60:118]])), (3 * i + 2, " ".join(w[:60]) + " " + sentence(rng, 60, 5000))]
+    crowd = sentence(rng, 200, 5000).split()
+    for i in range(200, 300):
+        w = list(crowd)
+        w[rng.randrange(190)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows]
+    assert all(len(sets[k] & sets[k + 1]) >= 0.8 * len(sets[k] | sets[k + 1]) > 1.25 * len(sets[k] & sets[k + 2]) for k in range(0, 120, 3))
+    docs = table(spark, [(i, t, "s") for i, t in rows]).select("doc_id", "text", "source").withColumns({"lang": F.lit("en"), "n_chars": F.length("text").cast("long")})
+    kept = {r.doc_id for r in c.dedup_near(spark, docs, DIR).collect()}
+    assert kept == {i for i in range(120) if i % 3 != 1} | {200}
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     assert {r.node: r.component for r in components(links).collect()} == {i: 0 for i in range(1, 41)} | {101: 100}
