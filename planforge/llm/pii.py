@@ -1,9 +1,10 @@
 """PII sanitisation by disclosure.
 
-Patterns find protected entities. A term that stands near an entity discloses it as far as the
-corpus says so: with N documents, n(e) and n(t) that hold the entity and the term, and n(e, t) where they stand
-near each other, PMI = log2(N n(e,t) / (n(e) n(t))) is compared with what there is to know, IC = log2(N / n(e)).
-A term with PMI >= ALPHA * IC, seen in SUPPORT different contexts, is a span too, and is generalised or removed.
+Patterns find protected entities. A term that stands in an entity's documents discloses it as far as the
+corpus says so: with N documents, n(e) and n(t) that hold the entity and the term, and n(e, t) that hold
+both, PMI = log2(N n(e,t) / (n(e) n(t))) is compared with what there is to know, IC = log2(N / n(e)).
+A term with PMI >= ALPHA * IC, seen in SUPPORT different contexts, is a span too wherever it stands in a document that
+holds the entity, and is generalised or removed.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ _IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 _CARD = r"[0-9]++(?:[ -][0-9]++)*+"
 _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: ALPHA: share of an entity's information that a term may give; SUPPORT: different contexts that it takes
-#: to say so; REACH: code points on either side of an entity that are its context.
+#: to say so; REACH: code points on either side of an entity that are a context within one text.
 ALPHA, SUPPORT, REACH = 0.8, 2, 80
 #: Code points of a text that are gone through to find one entity's context.
 TILE = 1024
@@ -96,35 +97,55 @@ def _surroundings(c: Column, s: Column) -> Column:
 
 
 def _context(held: DataFrame) -> DataFrame:
-    """(_row, entity, context, term, start, end): words near each entity, apart from those of entities themselves."""
+    """(_row, text, entity, context, term): words near each entity, apart from those of entities; term is null where there are none."""
     tiles = F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{TILE}}}"), 0)
     by_start = F.transform(F.array_sort("_spans"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     bounds = lambda b: F.struct(F.array_min(b)["start"].alias("start"), F.array_max(F.transform(b, lambda x: x["end"])).alias("end"), b.alias("all"))
     blocks = held_as(by_start, lambda a: F.transform(blocks_of(a, 128), bounds))
     around = held_as(F.struct(tiles.alias("tiles"), blocks.alias("blocks")), lambda c: F.transform("_spans", lambda s: _surroundings(c, s)))
-    e = held.select("_row", F.length("_text").alias("size"), around.alias("around")).select("_row", "size", F.explode("around").alias("s"))
+    e = held.select("_row", F.xxhash64("_text").alias("text"), F.length("_text").alias("size"), around.alias("around")).select("_row", "text", "size", F.explode("around").alias("s"))
     own = F.substring("s.near", (F.col("s.start") - F.col("s.lo") + 1).cast("int"), (F.col("s.end") - F.col("s.start")).cast("int"))
-    e = e.select("_row", _entity(F.col("s.kind"), own).alias("entity"), "s.lo", "s.near", F.length("s.near").alias("length"), "size", "s.all", F.regexp_extract_all("s.near", F.lit(TERM), 0).alias("found"))
+    e = e.select("_row", "text", _entity(F.col("s.kind"), own).alias("entity"), "s.lo", "s.near", F.length("s.near").alias("length"), "size", "s.all", F.regexp_extract_all("s.near", F.lit(TERM), 0).alias("found"))
     words = F.zip_with(spans(F.col("near"), F.col("found"), TERM, "term", len(KINDS)), "found", lambda w, f: F.struct(f.alias("term"), (w["start"] + F.col("lo")).alias("start"), (w["end"] + F.col("lo")).alias("end")))
 
     def counts(w):  # whole (the cut may halve the outer words) and apart from all entities
         whole = ((w["start"] > F.col("lo")) | (F.col("lo") == 0)) & ((w["end"] < F.col("lo") + F.col("length")) | (w["end"] == F.col("size")))
         return whole & ~F.exists("all", lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"]))
 
-    rows = e.select("_row", "entity", F.xxhash64("near").alias("context"), F.explode(F.filter(words, counts)).alias("w"))
-    return rows.select("_row", "entity", "context", ascii_lower(F.col("w.term")).alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
+    rows = e.select("_row", "text", "entity", F.xxhash64("near").alias("context"), F.explode_outer(F.filter(words, counts)).alias("w"))
+    return rows.select("_row", "text", "entity", "context", ascii_lower(F.col("w.term")).alias("term"))
 
 
-def disclosures(rows: DataFrame, near: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """(entity, term) that exceed the threshold; all counts are over all documents."""
+def _words(held: DataFrame) -> DataFrame:
+    """(_row, term, start, end): all words of the texts, apart from those of entities."""
+    found = F.regexp_extract_all("_text", F.lit(TERM), 0)
+    by_start = F.transform(F.array_sort("_spans"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    bounds = lambda b: F.struct(F.array_min(b)["start"].alias("start"), F.array_max(F.transform(b, lambda x: x["end"])).alias("end"), b.alias("all"))
+    blocks = held_as(by_start, lambda a: F.transform(blocks_of(a, 128), bounds))
+    each = held.select("_row", "_text", found.alias("found"), blocks.alias("blocks"))
+    words = F.zip_with(spans(F.col("_text"), F.col("found"), TERM, "term", len(KINDS)), "found", lambda w, f: F.struct(f.alias("term"), w["start"].alias("start"), w["end"].alias("end")))
+    each = each.select("_row", "blocks", F.explode(words).alias("w"))
+    meets = lambda s: (s["start"] < F.col("w.end")) & (s["end"] > F.col("w.start"))
+    apart = each.filter(~F.exists("blocks", lambda b: meets(b) & F.exists(b["all"], meets)))
+    return apart.select("_row", ascii_lower(F.col("w.term")).alias("term"), "w.start", "w.end")
+
+
+def disclosures(rows: DataFrame, near: DataFrame, words: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+    """(entity, term) that exceed the threshold; all counts are over all documents, and both may stand anywhere in one.
+
+    Contexts are the surroundings of the entity that hold the term, or different texts that hold both. As n(e,t) <= n(e), only
+    terms with n(t) <= n(e) (N / n(e))^(1 - alpha) can exceed it, so only these meet the entity's documents.
+    """
     total = rows.count()
-    n_e = near.select("entity", "_row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    pairs = (
-        near.groupBy("entity", "term", "_row", "context").agg(F.lit(1).alias("one"))
-        .groupBy("entity", "term").agg(F.count_distinct("_row").alias("n_et"), F.count_distinct("context").alias("contexts")).filter(F.col("contexts") >= support)
-    )
+    holds = near.select("entity", "_row", "text").distinct()
+    n_e = holds.groupBy("entity").agg(F.count_distinct("_row").alias("n_e"))
     terms = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(ascii_lower(F.col("_text")), F.lit(TERM), 0))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    known = pairs.join(n_e, "entity").join(terms, "term")
+    most = F.col("n_e") * F.pow(F.lit(float(total)) / F.col("n_e"), F.lit(1 - alpha)) * (1 + 1e-9)
+    said = words.select("_row", "term").distinct().join(terms, "term")
+    both = holds.join(n_e, "entity").withColumn("most", most).join(said, "_row").filter(F.col("n_t") <= F.col("most"))
+    pairs = both.groupBy("entity", "term", "n_e", "n_t").agg(F.count_distinct("_row").alias("n_et"), F.count_distinct("text").alias("texts"))
+    seen = near.filter("term is not null").groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"))
+    known = pairs.join(seen, ["entity", "term"], "left").filter(F.greatest("texts", F.coalesce("contexts", F.lit(0))) >= support)
     pmi = F.log2(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     ic = F.log2(F.lit(float(total)) / F.col("n_e"))
     return known.filter((ic > 0) & (pmi >= alpha * ic)).select("entity", "term")
@@ -139,8 +160,11 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text: str = "text", a
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text).alias("_text"), row_key(id_col, text).alias("_row"))
     marked = base_spans(rows, "_text")
     held = cut(marked.filter(F.size("_spans") > 0), "pii")  # only these have a context; their texts are written once
-    near = _context(held)
-    extra = near.join(disclosures(rows, near, alpha, support), ["entity", "term"], "left_semi")
+    near = cut(_context(held).distinct(), "near")
+    words = cut(_words(held.dropDuplicates(["_row"])), "words")
+    told = cut(disclosures(rows, near, words, alpha, support), "told")
+    there = near.select("entity", "_row").distinct().join(told, "entity").select("_row", "term").distinct()
+    extra = words.join(there, ["_row", "term"], "left_semi")
     spot = F.struct("start", F.lit(len(KINDS)).alias("no"), "end", F.lit("term").alias("kind"))
     more = extra.groupBy("_row").agg(F.array_sort(F.collect_set(spot)).alias("_terms"))
     base = held.select("_row", "_spans").dropDuplicates(["_row"]).join(more, "_row", "left")

@@ -370,6 +370,15 @@ def test_disclosing_terms_anywhere_in_long_texts(spark):
     assert all(want[i] in found[i] for i in want) and not any(found[i] != [""] for i in range(20, 200))
 
 
+def test_disclosing_terms_far_from_the_entity(spark):
+    """Every occurrence in the entity's documents is a span, also of terms that never stand near it."""
+    far = "and so on " * 10
+    rows = [(i, f"note {i} by zorblax lives bob@x.org {far}zorblax said to QUUX {i}") for i in range(4)] + [(i, f"the note {i} lives by on and so said to") for i in range(10, 60)]
+    clean = {r.doc_id: r.text for r in pii.sanitise(table(spark, rows)).collect()}
+    assert [clean[i] for i in range(4)] == [f"note {i} by <TERM> lives <EMAIL> {far}<TERM> said to <TERM> {i}" for i in range(4)]
+    assert all(clean[i] == t for i, t in rows[4:])
+
+
 def test_licenses(spark):
     texts = [
         "This work is licensed under the GNU General Public License, version 3.", "MIT License; the mit-license. MIT", "Licensed under CC BY-NC 4.0.", None, "", "apache\nlicense apache license",
