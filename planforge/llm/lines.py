@@ -1,7 +1,7 @@
 """Line dedup by deletion neighbourhoods.
 
 A line is its words. Equal lines are one; lines of LEAST words or more are also near if one word edit (a word put in, left
-out or changed) makes them equal, which is an edit similarity of 0.8 or more. Each line emits itself and its variants
+out or changed) makes them equal, which is a similarity of 0.8 at five words and more in longer lines (0.97 at 32). Each line emits itself and its variants
 with one word left out as hashed keys; lines that share a key are candidates, and the texts verify it.
 
 Only lines that can have a partner emit variants: of two lines one edit apart, the first or the last half is the
