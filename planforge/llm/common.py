@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -31,9 +31,49 @@ def words_of(c: Column, between: str = BLANK) -> Column:
     return F.array_remove(F.split(c, between), "")
 
 
+#: Type of row_key().
+ROW = "struct<a:bigint,b:bigint>"
+
+
 def row_key(*columns: str) -> Column:
-    """Tells rows apart by content; equal rows share it, so results joined by it hold for each of them."""
-    return F.xxhash64(*[F.col(c) for c in columns])
+    """128 bits that tell rows apart by content; equal rows share it, so results joined by it hold for each of them."""
+    parts = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
+
+
+def own(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df has not: the given ones, each with as many underscores after it as that takes."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(docs: DataFrame, gone: DataFrame, columns: list[str], several: DataFrame | None = None) -> DataFrame:
+    """docs without the rows whose row_key(*columns) is in gone; of those that are in several, too, one of each
+    stays. Both have one column, row, of distinct keys. Rows are judged by their own content, never by an id that they share; all columns stay."""
+    key, other = own(docs, "_row", "_gone")
+    keyed, found = docs.withColumn(key, row_key(*columns)), gone.select(F.col("row").alias(other))
+    if several is None or several.isEmpty():
+        return keyed.join(found, F.col(key) == F.col(other), "left_anti").drop(key)
+    twice = several.select(F.col("row").alias(other))
+    rest = keyed.join(found.unionAll(twice), F.col(key) == F.col(other), "left_anti")
+    return rest.unionAll(keyed.join(twice, F.col(key) == F.col(other), "left_semi").dropDuplicates([key])).drop(key)
+
+
+def numbered(rows: DataFrame, key: str, name: str, salts: int = 256) -> DataFrame:
+    """rows with ``name``: 0, 1, … within each key. A key's rows are numbered in ``salts`` parts, so a hot one is not sorted in one task."""
+    uid, salt, before = own(rows, "_uid", "_salt", "_before")
+    held = cut(rows.withColumn(uid, F.monotonically_increasing_id()).withColumn(salt, F.pmod(F.xxhash64(uid), F.lit(salts))), "numbered")
+    parts = held.groupBy(key, salt).agg(F.count(F.lit(1)).alias("n"))
+    ahead = F.sum("n").over(Window.partitionBy(key).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(F.col(key).alias("_k"), F.col(salt).alias("_s"), F.coalesce(ahead, F.lit(0)).alias(before))
+    here = held.withColumn(name, F.row_number().over(Window.partitionBy(key, salt).orderBy(uid)) - 1)
+    both = here.join(parts, here[key].eqNullSafe(parts["_k"]) & (here[salt] == parts["_s"]))
+    return both.withColumn(name, F.col(name) + F.col(before)).drop(uid, salt, before, "_k", "_s")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -93,6 +133,21 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int,
     return left.join(right, F.col(key).eqNullSafe(F.col("_key")) & (left["_salt"] == right["_salt"]), how).drop("_salt", "_key")
 
 
+def give(rows: DataFrame, found: DataFrame, key: str = "row") -> DataFrame:
+    """rows, which is written, with what found has for their key (one row a key, not null), null where it has nothing. A key that many rows share is dealt out."""
+    total = rows.count()
+    limit = hot_limit(total)
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    hot = cut(hot.select(F.col(key).alias("_hot"), F.ceil(F.col("_n") / limit).cast("int").alias("_salts")), "hot")  # fewer than SHARES rows
+    if hot.isEmpty():
+        return rows.join(found, key, "left")
+    left = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").drop("_hot")
+    left = left.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    right = found.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").drop("_hot")
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return left.join(right, [key, "_salt"], "left").drop("_salt")
+
+
 def held_as(value: Column, use) -> Column:
     """use(value), with value computed once; inside lambdas an expression would be computed for each element."""
     return F.transform(F.array(value), use)[0]

@@ -1,9 +1,9 @@
 """Benchmark decontamination by winnowing.
 
-Of each RUN - K + 1 consecutive K-grams of words the least hash is kept, on both sides. A passage of RUN
-words that a document shares with an item then has a kept K-gram in common; each such meeting is extended along its
-diagonal, word by word as text, and counts if it reaches RUN words. Items shorter than RUN are looked
-up whole.
+Of each RUN - K + 1 consecutive K-grams of words the least hash is kept, on both sides, so that a passage of RUN words that
+a document shares with an item has a kept K-gram in common. Fingerprints of documents are joined with those of the benchmark;
+each that meets one is extended to the windows of RUN words around it, which are joined, as text, with the
+windows of items. Items shorter than RUN are one window, and one fingerprint.
 """
 
 from __future__ import annotations
@@ -14,13 +14,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, row_key
+from .common import attach, cut, give, row_key, without
 from .tokens import LETTERS, LOWER, Joined, batches, grams, slide
 
 RUN, K = 10, 5
-#: Bytes of benchmark text that are sent to the tasks at once; a larger benchmark is taken in blocks, each against all documents.
-BLOCK = 16 << 20
+#: Bits of the table that tells which fingerprints the benchmark can't hold: 16 a fingerprint, and as many as this at most (8 MB), whatever the benchmark.
+MOST_BITS = 1 << 26
 
 
 def _clean(text: str | None) -> bytes:
@@ -38,108 +39,137 @@ def _kept(j: Joined) -> np.ndarray:
     return np.flatnonzero(high == v)
 
 
-class Index:
-    """Kept K-grams of a block of items, and the short items by length."""
-
-    def __init__(self, items: list[tuple[str | None, str | None]]):
-        self.items = Joined([_clean(t) for _, t in items], LETTERS)
-        self.ids = [i for i, _ in items]
-        long_ = self.items.count >= RUN
-        place = _kept(self.items)
-        place = place[long_[np.minimum(np.searchsorted(self.items.first, place, side="right") - 1, len(items) - 1)]] if len(items) else place
-        key = grams(self.items.h, K)[place] if len(place) else np.zeros(0, np.uint64)
-        order = np.argsort(key, kind="stable")
-        self.key, self.place = key[order], place[order]
-        self.short = {}
-        for n in range(1, RUN):
-            own = np.flatnonzero(self.items.count == n)
-            if len(own):
-                at = self.items.first[own]
-                key = grams(self.items.h, n)[at]
-                order = np.argsort(key, kind="stable")
-                self.short[n] = key[order], at[order]
-
-    def _meet(self, keys: np.ndarray, places: np.ndarray, key: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int]]:
-        lo, hi = np.searchsorted(key, keys, "left"), np.searchsorted(key, keys, "right")
-        for p, a, b in zip(places[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-            for q in place[a:b].tolist():
-                yield p, q
-
-    def hits(self, j: Joined) -> Iterator[tuple[int, int, int]]:
-        """(first word, words, item number) of passages of j that items share; words number as in j."""
-        it = self.items
-        same = lambda p, q: j.h[p] == it.h[q] and j.text(p, p) == it.text(q, q)  # noqa: E731  a sentinel's hash equals no other's
-        place = _kept(j)
-        if len(self.key) and len(place):
-            until: dict[int, int] = {}
-            for p, q in sorted(self._meet(grams(j.h, K)[place], place, self.key, self.place)):
-                if p < until.get(p - q, -1):
-                    continue
-                a, b = 0, 0
-                while p - a > 0 and q - a > 0 and same(p - a - 1, q - a - 1):
-                    a += 1
-                while p + b < len(j.h) and q + b < len(it.h) and same(p + b, q + b):
-                    b += 1
-                until[p - q] = p + b
-                if a + b >= RUN:
-                    yield p - a, a + b, int(np.searchsorted(it.first, q, side="right") - 1)
-        for n, (key, place) in self.short.items():
-            whole = np.flatnonzero(j.whole(n))
-            for p, q in self._meet(grams(j.h, n)[whole], whole, key, place):
-                if all(same(p + i, q + i) for i in range(n)):
-                    yield p, n, int(np.searchsorted(it.first, q, side="right") - 1)
-
-
-def _finder(sent):
-    def find(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Index(sent.value)
+def _salted(key: np.ndarray, n: int) -> np.ndarray:
+    """Fingerprints of whole short items are told apart from others by their length."""
+    return key + np.uint64(n) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _items(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item, n, x, fp): each window x of n words with fp null, and each fingerprint with x null."""
+    for b in rows:
+        ids, texts = b.column(0).to_pylist(), [_clean(x.as_py()) for x in b.column(1)]
+        for lo, hi in batches(texts):
+            j = Joined(texts[lo:hi], LETTERS)
+            words = [j.data[a:e] for a, e in zip(j.starts.tolist(), j.ends.tolist())]
+            out: list[tuple] = []
+            for i, (first, n) in enumerate(zip(j.first.tolist(), j.count.tolist())):
+                w = min(n, RUN)
+                out += [(ids[lo + i], w, x.decode(), None) for x in {b" ".join(words[a : a + w]) for a in range(first, first + n - w + 1)} if n]
+                if 0 < n < RUN:
+                    out.append((ids[lo + i], w, None, int(_salted(grams(j.h[first : first + n], n), n).view(np.int64)[0])))
+            place = _kept(j)
+            which = np.searchsorted(j.first, place, side="right") - 1
+            long_ = j.count[np.minimum(which, len(j.count) - 1)] >= RUN
+            found = {(int(w), int(k)) for w, k in zip(which[long_], _salted(grams(j.h, K)[place[long_]], RUN).view(np.int64))}
+            out += [(ids[lo + w], RUN, None, k) for w, k in found]
+            for at in range(0, len(out), 8192):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 8192]), (pa.string(), pa.int32(), pa.string(), pa.int64()))], names=["item", "n", "x", "fp"])
+
+
+def _regions(j: Joined, bits: np.ndarray, lengths: list[int]) -> Iterator[tuple]:
+    """(text number, n, first word, words, fingerprints) of stretches whose windows of n words may be in the benchmark; those of one n don't overlap."""
+    mask = np.uint64(len(bits) * 8 - 1)
+
+    def may(fp: np.ndarray) -> np.ndarray:
+        at = fp & mask
+        return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+    for n in lengths:
+        if n == RUN:
+            place = _kept(j)
+            fp = _salted(grams(j.h, K)[place], RUN)
+        else:
+            place = np.flatnonzero(j.whole(n))
+            fp = _salted(grams(j.h, n)[place], n)
+        good = may(fp)
+        place, fp = place[good], fp[good]
+        if not len(place):
+            continue
+        which = np.searchsorted(j.first, place, side="right") - 1
+        around = RUN - K if n == RUN else 0
+        lo = np.maximum(place - around, j.first[which])
+        hi = np.minimum(place + (RUN if n == RUN else n), j.first[which + 1] - 1)
+        whole = hi - lo >= n
+        place, fp, which, lo, hi = place[whole], fp[whole], which[whole], lo[whole], hi[whole]
+        new = np.flatnonzero((lo[1:] >= hi[:-1]) | (which[1:] != which[:-1])) + 1
+        for a, e in zip(np.append(0, new).tolist(), np.append(new, len(lo)).tolist()) if len(lo) else ():
+            yield int(which[a]), n, int(lo[a]), int(hi[e - 1]), np.unique(fp[a:e]).view(np.int64).tolist()
+
+
+def _scanner(sent, lengths: list[int]):
+    """For each document a row with n_words, and one for each of its regions."""
+
+    def scan(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(sent.value, np.uint8)
         for b in rows:
             texts = [_clean(t.as_py()) for t in b.column(2)]
-            n_words, places, items = [], [], []
             for lo, hi in batches(texts):
                 j = Joined(texts[lo:hi], LETTERS)
-                n_words += j.count.tolist()
-                spans: list[list] = [[] for _ in range(lo, hi)]
-                named: list[set] = [set() for _ in range(lo, hi)]
-                for p, n, i in held.hits(j):
-                    d = int(np.searchsorted(j.first, p, side="right") - 1)
-                    spans[d].append((p - int(j.first[d]), p - int(j.first[d]) + n))
-                    if held.ids[i] is not None:
-                        named[d].add(held.ids[i])
-                places += [[{"a": x, "b": y} for x, y in sorted(set(s))] for s in spans]
-                items += [sorted(s) for s in named]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n_words, pa.int64()), pa.array(places, _SPANS), pa.array(items, pa.list_(pa.string()))], names=["id", "row", "n_words", "spans", "items"])
-
-    return find
-
-
-_SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-_SHAPE = "id long, row long, n_words long, spans array<struct<a:long,b:long>>, items array<string>"
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
+                doc, n, at, words, prints = list(range(lo, hi)), [None] * (hi - lo), j.count.tolist(), [None] * (hi - lo), [None] * (hi - lo)
+                for d, size, first, last, fps in _regions(j, bits, lengths):
+                    doc.append(lo + d)
+                    n.append(size)
+                    at.append(first - int(j.first[d]))
+                    words.append(b" ".join([j.data[x:y] for x, y in zip(j.starts[first:last].tolist(), j.ends[first:last].tolist())]).decode())
+                    prints.append(fps)
+                take = pa.array(doc, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(n, pa.int32()), pa.array(at, pa.int64()), pa.array(words, pa.string()), pa.array(prints, pa.list_(pa.int64()))], names=["id", "row", "n", "at", "words", "fps"])
+
+    return scan
+
+
+def _table(prints: DataFrame) -> bytes:
+    """A bit for each of the benchmark's fingerprints, by its last bits."""
+    size = 1 << 16
+    while size < min(MOST_BITS, 16 * prints.count()):
+        size *= 2
+    at = F.col("fp").bitwiseAND(size - 1)
+    held = prints.groupBy(F.shiftright(at, 5).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(fp & 31L as int))")).alias("v")).toArrow()  # size / 32 rows at most
+    out = np.zeros(size // 32, np.uint32)
+    out[held.column("w").to_numpy()] = held.column("v").to_numpy().astype(np.uint32)
+    return out.astype("<u4").tobytes()
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text: str, item_id: str, item_text: str) -> DataFrame:
+    """(id, row, n_words, spans, items), a row per row of docs."""
+    spark = docs.sparkSession
+    items = benchmark.filter(F.col(item_text).isNotNull()).select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).distinct()
+    held = cut(items.mapInArrow(_items, "item string, n int, x string, fp long"), "benchmark")
+    prints = cut(held.filter("fp is not null").select("fp").distinct(), "prints")
+    windows = held.filter("x is not null").groupBy("x").agg(F.collect_set("item").alias("items"))
+    lengths = sorted(r[0] for r in held.select("n").distinct().collect())  # RUN of them at most
+    sent = spark.sparkContext.broadcast(_table(prints))
+    rows = docs.select(F.col(id_col).alias("id"), row_key(id_col, text).alias("row"), F.col(text).alias("t"))
+    shape = T.StructType([*[T.StructField(f.name, f.dataType) for f in rows.schema][:2], *T._parse_datatype_string("n int, at long, words string, fps array<long>").fields])
+    scanned = cut(rows.mapInArrow(_scanner(sent, lengths), shape), "scanned")
+    sized = scanned.filter("n is null").select("id", "row", F.col("at").alias("n_words"))
+    regions = scanned.filter("n is not null")
+    # fingerprints of both sides meet; a frequent one is dealt out
+    mine = regions.select("row", "n", "at", F.explode("fps").alias("fp"))
+    times = mine.groupBy("fp").agg(F.count(F.lit(1)).alias("times")).join(prints, "fp", "left_semi")
+    met = attach(mine, cut(times, "times"), "fp", "times", mine.count(), "left_semi", "row").select("row", "n", "at").distinct()
+    known = regions.join(cut(met, "met"), ["row", "n", "at"], "left_semi").dropDuplicates(["row", "n", "at"])
+    # and are extended to windows, which meet as text
+    one_by_one = F.transform(F.sequence(F.lit(0), F.size("w") - F.col("n")), lambda i: F.struct((F.col("at") + i).alias("a"), F.array_join(F.slice("w", i + 1, F.col("n")), " ").alias("x")))
+    each = known.withColumn("w", F.split("words", " ")).select("row", "n", F.explode(one_by_one).alias("s")).select("row", "n", "s.a", "s.x")
+    each = cut(each, "extended")
+    sizes = each.groupBy("x").agg(F.count(F.lit(1)).alias("times"))
+    hits = attach(each, cut(windows.join(sizes, "x"), "windows"), "x", "times", each.count(), "inner", "row")
+    span = F.struct("a", (F.col("a") + F.col("n")).alias("b"))
+    found = hits.groupBy("row").agg(F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    out = give(sized, cut(found, "leaks"))
+    none = F.array().cast("array<struct<a:long,b:long>>")
+    return out.select("id", "row", "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per row of docs: id, n_words, spans (word ranges that items share, end exclusive), items (ids, sorted as strings).
 
     Null texts have no words, so null items have no window. Items without an id taint words but are not named; repeated
-    items are named once. Null document ids and repeated rows each give their row; empty tables give no rows or no
-    hits. Other columns are not read. The benchmark's bytes are counted, and it goes to the tasks in blocks of that many.
+    items are named once. Null document ids and repeated rows each give their row; ids are of any type; empty tables give no rows or no
+    hits. Other columns are not read. Texts are read once, whatever the benchmark's size; only a table of bits of bounded size goes to all tasks.
     """
-    sc = docs.sparkSession.sparkContext
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text).alias("row"), F.col(text).alias("t"))
-    items = benchmark.filter(F.col(item_text).isNotNull()).select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).distinct()
-    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = -(-size // block) or 1
-    out = None
-    for k in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else items
-        sent = sc.broadcast(sorted(((r["i"], r["t"]) for r in part.collect()), key=lambda x: (x[0] or "", x[1])))
-        found = rows.mapInArrow(_finder(sent), _SHAPE)
-        out = found if out is None else out.unionAll(found)
-    if blocks > 1:  # a document's ranges from all blocks; equal rows share theirs
-        hit = cut(out.filter("size(spans) > 0"), "leaks").groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        out = found.drop("spans", "items").join(hit, "row", "left")
-        out = out.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<a:long,b:long>>"))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
-    return out.select(F.col("id").alias(id_col), "n_words", "spans", "items")
+    return _found(docs, benchmark, id_col, text, item_id, item_text).select(F.col("id").alias(id_col), "n_words", "spans", "items")
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -152,6 +182,6 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows that share a passage with the benchmark; all columns stay."""
-    gone = find_leaks(docs, benchmark, id_col, text).filter(F.size("spans") > 0).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    """docs without the rows that share a passage with the benchmark, told by id and text together; all columns stay, whatever their names."""
+    found = _found(docs, benchmark, id_col, text, "item_id", "text")
+    return without(docs, found.filter(F.size("spans") > 0).select("row").distinct(), [id_col, text])

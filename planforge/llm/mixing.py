@@ -9,16 +9,17 @@ at most, and a reserve of all sizes) meets in the next round, until a source's r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import BLANK, cut, text_of, words_of
+from .common import BLANK, cut, numbered, own, text_of, words_of
 
 WEIGHTS, SHARE, CAP, BLOCK, SEED, RESERVE = (5.0, 2.0, 1.0), 1.5, 2.0, 4_000, 17, 64
+#: Rows that repeat id, source and size are told apart by a number, and listed so many at a time.
+REPEATS = 4096
 _TINY = 1e-9
 
 
@@ -101,14 +102,18 @@ def landing(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.nda
 def _round(seed: int):
     """A block's flight. RESERVE documents, spread over the sizes, sit it out, so that the landing finds some of each size."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values(["size", "h", "id"], ascending=[False, True, True], kind="stable")
-        rng = np.random.default_rng([seed, int(g["h"].iloc[0]) & 0xFFFFFFFF, len(g)])
-        size, p = g["size"].to_numpy(), g["p"].to_numpy().astype(float)
-        flies = np.ones(len(g), bool)
-        flies[np.unique(np.linspace(0, len(g) - 1, min(max(1, len(g) // 8), RESERVE)).astype(int))] = False
+    def run(group: pa.Table) -> pa.Table:
+        size, h, h2, p = (group.column(c).to_numpy() for c in ("size", "h", "h2", "p"))
+        order = np.lexsort((h2, h, -size))
+        size, p = size[order], p[order].astype(float)
+        rng = np.random.default_rng([seed, int(h[order[0]]) & 0xFFFFFFFF, len(size)])
+        flies = np.ones(len(size), bool)
+        flies[np.unique(np.linspace(0, len(size) - 1, min(max(1, len(size) // 8), RESERVE)).astype(int))] = False
         p[flies] = flight(p[flies], size[flies], rng)
-        return g.assign(p=landing(p, size, rng) if g["blocks"].iloc[0] == 1 else p).drop(columns="block")
+        out = group.drop_columns(["block"]).take(order)
+        if group.column("blocks")[0].as_py() == 1:
+            p = landing(p, size, rng)
+        return out.set_column(out.schema.get_field_index("p"), "p", pa.array(p))
 
     return run
 
@@ -117,8 +122,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     """One row per row of docs: id, source, size, source_size, target, copies, taken (= copies * size).
 
     Sources by code point, null last, bear the weights in turn. Null and empty texts have size 0 and are
-    copied like others of their source. Order and blocks come from a hash of id and size, so reruns agree;
-    repeated rows are separate documents. An empty table gives no rows. The number of sources, not that
+    copied like others of their source. Order and blocks come from a hash of id, size and, for rows that repeat both in
+    a source, a number of their own, so reruns agree; repeated rows are separate documents, and null ids need no
+    block of their own. Ids are of any type. An empty table gives no rows. The number of sources, not that
     of documents, is what the driver holds.
     """
     block = max(block, 64)  # so that each round leaves less than it found
@@ -129,19 +135,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     table = [(s, sizes[s], wanted[s], wanted[s] / sizes[s] if sizes[s] else 0.0) for s in sizes]
     spark = docs.sparkSession
     known = spark.createDataFrame(table, "s string, source_size long, target double, rate double")
+    kinds = cut(rows.groupBy("source", "id", "size").agg(F.count(F.lit(1)).alias("n")), "kinds")
+    parts = kinds.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / REPEATS))))
+    if not kinds.filter(F.col("n") > REPEATS).isEmpty():
+        parts = parts.repartition("source", "id", "size", "part")
+    last = F.least(F.col("n") - F.col("part") * REPEATS, F.lit(REPEATS)) - 1
+    rows = parts.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn("rep", F.col("rep") + F.col("part") * REPEATS)
     rows = rows.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     whole = F.floor(F.col("rate") + _TINY)
     part = F.greatest(F.col("rate") - whole, F.lit(0.0))
-    rows = rows.withColumns({"whole": whole, "p": F.when(part < _TINY, 0.0).otherwise(part), "h": F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "size", F.lit(seed))})
-    shape = "source string, id long, size long, source_size long, target double, whole long, p double, h long, blocks long"
-    rows = rows.select("source", F.col("id").cast("long"), "size", "source_size", "target", F.col("whole").cast("long"), "p", "h")
+    name = (F.coalesce(F.col("id").cast("string"), F.lit("")), "size", "rep")
+    rows = rows.withColumns({"whole": whole, "p": F.when(part < _TINY, 0.0).otherwise(part), "h": F.xxhash64(*name, F.lit(seed)), "h2": F.xxhash64(F.lit(seed), *name)})
+    rows = rows.select("source", "id", "size", "source_size", "target", F.col("whole").cast("long"), "p", "h", "h2")
+    shape = T.StructType([*[T.StructField(f.name, f.dataType) for f in rows.schema], T.StructField("blocks", T.LongType())])
     done, left, salt = rows.filter("p <= 0"), rows.filter("p > 0"), 0
     while counts := left.groupBy("source").count().collect():
         # a source in one block lands; each other block leaves RESERVE + 2 documents to the next round
         dealing = spark.createDataFrame([(r[0], -(-r[1] // block)) for r in counts], "s string, blocks long")
         dealt = left.join(F.broadcast(dealing), F.col("source").eqNullSafe(F.col("s"))).drop("s")
         dealt = dealt.withColumn("block", F.pmod(F.xxhash64("h", F.lit(salt)), "blocks"))
-        flown = cut(dealt.groupBy("source", "block").applyInPandas(_round(seed + salt), shape), "flown")
+        flown = cut(dealt.groupBy("source", "block").applyInArrow(_round(seed + salt), shape), "flown")
         open_ = (F.col("blocks") > 1) & (F.col("p") > _TINY) & (F.col("p") < 1 - _TINY)
         done = done.unionAll(flown.filter(~open_).drop("blocks"))
         left, salt = flown.filter(open_).drop("blocks"), salt + 1
@@ -153,10 +166,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
 def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """docs that the mix takes, each once, with copies (how often it is taken), taken and target.
 
-    Rows are matched by id, source and size; rows that repeat all three get the largest of their copies.
+    Rows are matched by id, source and size. Of rows that repeat all three as many get each number of copies as mix() gives it;
+    which of them is not defined. A column of docs that has one of the three names stays, and the new one bears an underscore more.
     """
-    found = mix(docs, id_col, text, source, **how).select(F.col(id_col).alias("_i"), F.col(source).alias("_s"), F.col("size").alias("_z"), "copies", "taken", "target")
-    found = found.groupBy("_i", "_s", "_z").agg(F.max("copies").alias("copies"), F.max("taken").alias("taken"), F.max("target").alias("target"))
-    sized = docs.drop("copies", "taken", "target").withColumn("_n", F.size(words_of(text_of(text), BLANK)).cast("long"))
-    hit = F.col(id_col).eqNullSafe(F.col("_i")) & F.col(source).eqNullSafe(F.col("_s")) & (F.col("_n") == F.col("_z"))
-    return sized.join(found, hit).drop("_i", "_s", "_z", "_n").filter("copies > 0")
+    found = mix(docs, id_col, text, source, **how).select(F.col(id_col).alias("i"), F.col(source).alias("s"), F.col("size").alias("z"), "copies", "target")
+    found = found.groupBy("i", "s", "z").agg(F.min("copies").alias("lo"), F.max("copies").alias("hi"), F.sum("copies").alias("all"), F.count(F.lit(1)).alias("m"), F.max("target").alias("t"))
+    # copies are lo or lo + 1
+    found = cut(found.select(F.struct("i", "s", "z").alias("k"), "lo", "hi", (F.col("all") - F.col("m") * F.col("lo")).alias("more"), "t"), "taken")
+    key, match, lo, hi, more, number = own(docs, "_key", "_match", "_lo", "_hi", "_more", "_number")
+    copies, taken, target = own(docs, "copies", "taken", "target")
+    known = found.select(F.col("k").alias(match), F.col("lo").alias(lo), F.col("hi").alias(hi), F.col("more").alias(more), F.col("t").alias(target))
+    size = F.size(words_of(text_of(text), BLANK)).cast("long")
+    sized = docs.withColumn(key, F.struct(F.col(id_col).alias("i"), F.col(source).alias("s"), size.alias("z")))
+    same = F.col(key).eqNullSafe(F.col(match))
+    out = sized.join(known.filter(F.col(lo) == F.col(hi)).filter(F.col(hi) > 0), same).withColumn(copies, F.col(hi))
+    torn = known.filter(F.col(lo) < F.col(hi))
+    if not torn.isEmpty():
+        each = numbered(sized.join(torn, same), match, number)
+        out = out.unionByName(each.withColumn(copies, F.col(lo) + (F.col(number) < F.col(more)).cast("long")).filter(F.col(copies) > 0).drop(number))
+    return out.withColumn(taken, F.col(copies) * F.col(key)["z"]).drop(key, match, lo, hi, more).select(*[f"`{c}`" for c in docs.columns], copies, taken, target)

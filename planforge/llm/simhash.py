@@ -15,18 +15,20 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import shingles
 from .components import components
-from .common import attach, cut, row_key
+from .common import ROW, attach, cut, row_key, without
 from .tokens import mixed
 
 DISTANCE, SEED, SHINGLE = 2, 42, 3
 UPPER = 32
 #: Distinct fingerprints of a bucket that are compared directly; larger buckets are linked through shared masks.
 DIRECT = 128
-#: Bytes of packed fingerprints that a task holds; fingerprints that one task may hold whatever their variants; a variant with more than 1/SHARE of all is hot.
-BUCKET, WHOLE, SHARE = 32 << 20, 1 << 20, 4000
+#: Bytes of packed fingerprints that a task holds; fingerprints that one task may hold whatever their variants; a variant
+#: with more than 1/SHARE of all, or with CROWD of them, is hot.
+BUCKET, WHOLE, SHARE, CROWD = 32 << 20, 1 << 20, 4000, 1 << 21
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -50,7 +52,7 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         prints = pa.array([fingerprint(x.as_py()) for x in b.column(1)], pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0), prints], names=["id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), prints], names=["id", "row", "fp"])
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,6 +220,7 @@ def links(prints: DataFrame, direct: int = DIRECT, whole: int = WHOLE, share: in
     """
     spark, fps = prints.sparkSession, prints.select("fp")
     total, hot = prints.count(), []
+    share = max(share, total // CROWD)
     if total > whole:  # fewer can't fill a task
         found = fps.mapInArrow(_heavy(share), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
         hot = [r[0] for r in found.filter(F.col("n") * (2 * share) > total).select("key").collect()]  # fewer than 66 * share
@@ -226,37 +229,47 @@ def links(prints: DataFrame, direct: int = DIRECT, whole: int = WHOLE, share: in
     return packed.mapInArrow(_linker(direct), "a long, b long")
 
 
+def _placed(docs: DataFrame, id_col: str, text: str, similar: float | None, keyed: bool, **how) -> DataFrame:
+    """(id, row, fp, component_id, keep_row), a row per row of docs. row and keep_row, the row that stays of a component (of the least id, null the last), are null unless keyed."""
+    key = row_key("id", "t") if keyed or similar is not None else F.lit(None).cast(ROW)
+    ids = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")).withColumn("row", key)
+    shape = [T.StructField("id", ids.schema["id"].dataType), ids.schema["row"]]
+    if similar is None:
+        rows = cut(ids.mapInArrow(_fingerprints, T.StructType([*shape, T.StructField("fp", T.LongType())])), "prints")
+    else:
+        more = [("fp", T.LongType()), ("s", T.LongType()), ("size", T.LongType()), ("bands", T.ArrayType(T.LongType()))]
+        rows = cut(ids.mapInArrow(_sketches, T.StructType([*shape, *[T.StructField(*x) for x in more]])), "prints")
+    lead = F.struct(F.col("id").isNull().alias("z"), "id", "row")
+    firsts = rows.groupBy("fp").agg(F.min("id").alias("first"), F.min(lead).alias("lead"), F.count(F.lit(1)).alias("n"))
+    firsts = cut(firsts, "firsts")
+    found = links(firsts.select("fp"), **how)
+    if similar is not None:
+        found = found.unionAll(shingles.ties(rows, ids.select("row", "t"), similar))
+        rows = rows.select("id", "row", "fp")
+    nodes = components(found)
+    named = firsts.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"), F.min("lead")["row"].alias("keep_row"))
+    groups = cut(named.join(least, "component").select("fp", "n", "component_id", "keep_row"), "groups")
+    return attach(rows, groups, "fp", "n", rows.count(), "inner", "id")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar: float | None = None, **how) -> DataFrame:
     """One row per row of docs: id, fp (signed 64 bits), component_id (the least id reachable over links).
 
     Null text has no words; texts without words have fingerprint zero and are linked like any other.
     A null id is never a component's name, unless the component has no other id. Repeated rows each
-    give their row; an empty table gives none. Other columns are not read. ``how`` goes to links().
+    give their row; an empty table gives none. Ids are of any type with an order. Other columns are not read. ``how`` goes to links().
     With ``similar``, texts whose five-word shingles have that Jaccard similarity are linked too, which fingerprints
     can't do: at 0.8 they differ in more bits than segments of 64 could index.
     """
-    ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t"))
-    if similar is None:
-        rows = cut(ids.mapInArrow(_fingerprints, "id long, fp long"), "prints")
-    else:
-        keyed = ids.withColumn("row", row_key("id", "t"))
-        rows = cut(keyed.mapInArrow(_sketches, "id long, row long, fp long, s long, size long, bands array<long>"), "prints")
-    firsts = rows.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
-    firsts = cut(firsts, "firsts")
-    found = links(firsts.select("fp"), **how)
-    if similar is not None:
-        found = found.unionAll(shingles.ties(rows, keyed.select("row", "t"), similar))
-        rows = rows.select("id", "fp")
-    nodes = components(found)
-    named = firsts.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    groups = cut(named.join(least, "component").select("fp", "n", "component_id"), "groups")
-    out = attach(rows, groups, "fp", "n", rows.count(), "inner", "id")
-    return out.select(F.col("id").alias(id_col), "fp", "component_id")
+    return _placed(docs, id_col, text, similar, False, **how).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs with the row of the least id of each component; all columns stay. Ids are taken to be distinct; rows without an id stay. ``how`` goes to near_groups()."""
-    found = near_groups(docs, id_col, text, **how)
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar: float | None = None, **how) -> DataFrame:
+    """One row of each component: that of the least id (null is the last), and of rows that share it the one of the least row key.
+
+    Rows are told by id and text together; of rows that repeat both any one stays. All columns stay, whatever their names. ``how`` goes to near_groups().
+    """
+    found = cut(_placed(docs, id_col, text, similar, True, **how).select("row", (F.col("row") == F.col("keep_row")).alias("stays")), "kept")
+    several = found.filter("stays").groupBy("row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("row")
+    return without(docs, found.filter("not stays").select("row").distinct(), [id_col, text], several)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from planforge.llm import decontaminate, exact, licenses, lines, mixing, pii, quality, queries, secrets, simhash, substrings, tokens
+from planforge.llm import common, decontaminate, exact, licenses, lines, mixing, pii, quality, queries, secrets, simhash, substrings, tokens
 from planforge.llm.components import components
 
 LOW = {i: i + 32 for i in range(65, 91)}
@@ -66,7 +66,7 @@ def test_exact(spark, awkward):
     docs, cols = table(spark, awkward), ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
     assert Counter(got(exact.exact_groups(docs), *cols)) == Counter(want)
     assert Counter(got(exact.exact_groups(docs, ident=lambda c: F.length(c).cast("long") % 3), *cols)) == Counter(want)  # identifiers that collide
-    assert exact.keep_one(docs).count() == sum(w[3] for w in want) and exact.exact_groups(table(spark, [])).count() == 0
+    assert exact.keep_one(docs).count() == len(groups) and exact.exact_groups(table(spark, [])).count() == 0
 
 
 def test_exact_long_texts_share_chunks(spark):
@@ -273,17 +273,84 @@ def leak_brute(docs, items):
     return out
 
 
-@pytest.mark.parametrize("block", [1 << 20, 60])
-def test_leaks(spark, awkward, block):
+@pytest.mark.parametrize("hot", [False, True])
+def test_leaks(spark, awkward, hot, monkeypatch):
     items = [(1, awkward[0][1][:60]), (2, "É é! Z"), (3, None), (None, awkward[1][1].upper()), (4, ""), (5, "ab, ab? ab"), (6, "ab " * 14), (6, "ab " * 14), (7, "never here at all"), (30, "w1")]
+    if hot:  # all keys are dealt out
+        monkeypatch.setattr(common, "LEAST_HOT", 2)
+        monkeypatch.setattr(common, "SHARES", 1_000_000)
     bench = spark.createDataFrame(items, "item_id long, text string")
     cols = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     docs = table(spark, awkward)
-    assert Counter(got(decontaminate.digest(decontaminate.find_leaks(docs, bench, block=block)), *cols)) == Counter(leak_brute(awkward, items))
+    assert Counter(got(decontaminate.digest(decontaminate.find_leaks(docs, bench)), *cols)) == Counter(leak_brute(awkward, items))
     assert decontaminate.find_leaks(table(spark, []), bench).count() == 0
     assert decontaminate.find_leaks(docs, bench.limit(0)).filter("size(spans) > 0").count() == 0
 
 
+def test_leaks_of_one_word_said_again_and_again(spark):
+    rows = [(1, "ab " * 8_000), (2, "ab " * 9), (3, "ab " * 200 + "c " * 300), (None, "ab " * 10 + "x"), (None, "clean")]
+    items = [(1, "ab " * 800), (2, "c"), (3, "x y")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    cols = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert Counter(got(decontaminate.digest(decontaminate.find_leaks(table(spark, rows), bench)), *cols)) == Counter(leak_brute(rows, items))
+
+
+#: Rows that share ids, null ones too, and rows that repeat wholly, under columns named as operators name theirs inside.
+SHARED = "doc_id long, text string, source string, _gone int, _row int, _i int, _key int, _match int, spans int, n_lines int, n_removed int, copies int, taken int, target int, _salt int, k int"
+
+
+def shared(rng):
+    a, b, c = (sentence(rng, 60, 3000) for _ in range(3))
+    return [(None, a), (None, b), (None, b), (3, c), (4, a + " x"), (4, b.upper()), (4, "only four"), (7, c), (7, "only seven"), (None, "unique null"), (1, c), (1, c)]
+
+
+def test_rows_are_judged_apart(spark):
+    rng = random.Random(12)
+    rows = shared(rng)
+    docs = table(spark, rows, SHARED)
+    texts = lambda df: sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in df.collect())
+    want = lambda keep: sorted((i is None, i or 0, t) for i, t in keep)
+    assert texts(exact.keep_one(docs)) == want([rows[0], rows[4], (4, rows[5][1]), rows[6], (7, rows[3][1]), rows[8], rows[9]])
+    near = texts(simhash.drop_near(docs, similar=0.8))
+    assert near == want([rows[4], rows[5], rows[6], rows[8], rows[9], (1, rows[3][1])])
+    bench = spark.createDataFrame([(1, rows[1][1]), (2, "only seven")], "item_id long, text string")
+    assert texts(decontaminate.drop_contaminated(docs, bench)) == want([rows[0], rows[3], rows[4], rows[6], rows[7], rows[9], rows[10], rows[11]])
+    for out in (exact.keep_one(docs), simhash.drop_near(docs), decontaminate.drop_contaminated(docs, bench), quality.keep_selected(docs, spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int"))):
+        assert out.columns == docs.columns
+    assert lines.drop_lines(docs).columns == [*docs.columns, "n_lines_", "n_removed_"]
+    assert pii.sanitise(docs).columns == docs.columns
+
+
+def test_mix_of_repeated_rows(spark, monkeypatch):
+    """Repeated rows are documents of their own: the mix takes some of them, and mixed() gives each its copies."""
+    monkeypatch.setattr(mixing, "REPEATS", 7)
+    rows = [(None, "a b c d", "s0")] * 200 + [(i, "a b " * (i % 9), "s1") for i in range(300)] + [(5, "x y", None)] * 60
+    docs = table(spark, rows, SHARED)
+    out = mixing.mix(docs, block=64).collect()
+    assert len(out) == len(rows)
+    sizes, taken, kept = Counter(), Counter(), Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    want = mixing.targets(sizes)
+    for r in out:
+        taken[r.source] += r.taken
+    for r in mixing.mixed(docs, block=64).collect():
+        kept[r.source] += r.taken_
+        assert r.taken_ == r.copies_ * len(r.text.split()) and r.copies_ > 0 and r.taken is None
+    assert all(abs(taken[s] - want[s]) <= max(4, 0.01 * want[s]) for s in sizes) and {s: n for s, n in kept.items() if n} == {s: n for s, n in taken.items() if n}
+
+
+def test_ids_that_are_strings(spark, awkward):
+    docs = table(spark, [(None if r[0] is None else f"d{r[0]:04d}", *r[1:]) for r in awkward], "doc_id string, text string, source string")
+    plain = table(spark, awkward)
+    bench = spark.createDataFrame([(1, awkward[0][1])], "item_id long, text string")
+    labels = spark.createDataFrame([("d0001", 1, 0), ("d0002", 0, 1)], "doc_id string, quality int, toxic int")
+    named = lambda df, *c: Counter((None if r[0] is None else f"d{r[0]:04d}", *r[1:]) for r in got(df, "doc_id", *c))
+    for f, cols in ((lambda d: decontaminate.find_leaks(d, bench), ("n_words",)), (simhash.near_groups, ("fp",)), (substrings.remove_repeats, ("n_removed", "kept_sha256"))):
+        assert Counter(got(f(docs), "doc_id", *cols)) == named(f(plain), *cols)
+    assert mixing.mix(docs).count() == quality.resample(docs, labels).count() == len(awkward)
+
+
 def scan(kinds, t):
     """Leftmost matches of each kind, failing ones dropped."""
     return [(k, m.start(), m.end()) for k, rx, ok in kinds for m in re.finditer(rx, t or "") if ok(m)]
