@@ -3,26 +3,28 @@
 Patterns find protected entities. A term that stands in an entity's documents discloses it as far as the
 corpus says so: with N documents, n(e) and n(t) that hold the entity and the term, and n(e, t) that hold
 both, PMI = log2(N n(e,t) / (n(e) n(t))) is compared with what there is to know, IC = log2(N / n(e)).
-A term with PMI >= ALPHA * IC, seen in SUPPORT different contexts, is a span too wherever it stands in a document that
-holds the entity, and is generalised or removed.
+A term with PMI >= ALPHA * IC is a span too wherever it stands in a document that holds the entity, and is generalised or removed.
+As n(e,t) >= n(t) (n(e) / N)^(1 - ALPHA) says the same, one meeting is enough for terms so rare that the right side is 1 or
+less, and terms with a right side above n(e) can't disclose; only those between have their meetings counted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, blocks_of, cut, held_as, row_key, span_text, spans, text_of
+from .common import ascii_lower, attach, blocks_of, cut, give, held_as, own, row_key, span_text, spans, text_of
 
 _EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 _IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 _CARD = r"[0-9]++(?:[ -][0-9]++)*+"
 _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-#: ALPHA: share of an entity's information that a term may give; SUPPORT: different contexts that it takes
-#: to say so; REACH: code points on either side of an entity that are a context within one text.
-ALPHA, SUPPORT, REACH = 0.8, 2, 80
-#: Code points of a text that are gone through to find one entity's context.
+#: ALPHA: share of an entity's information that a term may give. An entity that stands in one document is protected like any other.
+ALPHA = 0.8
+#: Code points of a text that are gone through to find one place in it.
 TILE = 1024
+#: Room for rounding where a threshold is met exactly.
+_EVEN = 1 - 1e-9
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -64,7 +66,7 @@ KINDS = (
 
 
 def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with _spans: the patterns' places, by kind as listed, then start."""
+    """docs with _spans: the patterns' places, by kind as listed, then start; and _entities: the distinct forms of what stands there."""
     t = F.col("_text")
     df = docs.withColumn("_text", text_of(text))
     for i, (_, pattern, _, needs, _) in enumerate(KINDS):
@@ -74,123 +76,115 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
             wanted = F.contains(t, F.lit(needs))
         df = df.withColumn(f"_m{i}", F.when(wanted, F.regexp_extract_all(t, F.lit(pattern), 0)).otherwise(F.array().cast("array<string>")))
     each = [spans(t, F.col(f"_m{i}"), pattern, kind, i, keep) for i, (kind, pattern, keep, _, _) in enumerate(KINDS)]
-    return df.withColumn("_spans", F.concat(*each)).drop(*[f"_m{i}" for i in range(len(KINDS))])
+    named = [_entities(F.col(f"_m{i}"), kind, keep, form) for i, (kind, _, keep, _, form) in enumerate(KINDS)]
+    return df.withColumn("_spans", F.concat(*each)).withColumn("_entities", F.array_distinct(F.concat(*named))).drop(*[f"_m{i}" for i in range(len(KINDS))])
 
 
-def _entity(kind: Column, m: Column) -> Column:
-    out = m
-    for name, _, _, _, form in KINDS:
-        out = F.when(kind == name, F.concat(F.lit(f"{name}:"), form(m))).otherwise(out)
-    return out
+def _entities(found: Column, kind: str, keep, form) -> Column:
+    return F.transform(F.filter(found, keep) if keep else found, lambda m: F.concat(F.lit(f"{kind}:"), form(m)))
 
 
-def _surroundings(c: Column, s: Column) -> Column:
-    """Of one span: the text around it from lo on, and the spans there. c has the text's tiles and its spans in blocks, so
-    neither the whole text nor all spans are gone through for each span."""
-    lo = F.greatest(s["start"] - REACH, F.lit(0))
-    first, last = F.floor(lo / TILE).cast("int"), F.floor((s["end"] + REACH - 1) / TILE).cast("int")
-    tiles = F.array_join(F.slice(c["tiles"], first + 1, last - first + 1), "")
-    near = F.substring(tiles, (lo - first * TILE + 1).cast("int"), (s["end"] + REACH - lo).cast("int"))
-    meets = lambda x: (x["start"] < s["end"] + REACH) & (x["end"] > lo)
-    others = F.filter(F.flatten(F.transform(F.filter(c["blocks"], meets), lambda b: b["all"])), meets)
-    return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), lo.alias("lo"), near.alias("near"), others.alias("all"))
-
-
-def _context(held: DataFrame) -> DataFrame:
-    """(_row, text, entity, context, term): words near each entity, apart from those of entities; term is null where there are none."""
-    tiles = F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{TILE}}}"), 0)
-    by_start = F.transform(F.array_sort("_spans"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    bounds = lambda b: F.struct(F.array_min(b)["start"].alias("start"), F.array_max(F.transform(b, lambda x: x["end"])).alias("end"), b.alias("all"))
-    blocks = held_as(by_start, lambda a: F.transform(blocks_of(a, 128), bounds))
-    around = held_as(F.struct(tiles.alias("tiles"), blocks.alias("blocks")), lambda c: F.transform("_spans", lambda s: _surroundings(c, s)))
-    e = held.select("_row", F.xxhash64("_text").alias("text"), F.length("_text").alias("size"), around.alias("around")).select("_row", "text", "size", F.explode("around").alias("s"))
-    own = F.substring("s.near", (F.col("s.start") - F.col("s.lo") + 1).cast("int"), (F.col("s.end") - F.col("s.start")).cast("int"))
-    e = e.select("_row", "text", _entity(F.col("s.kind"), own).alias("entity"), "s.lo", "s.near", F.length("s.near").alias("length"), "size", "s.all", F.regexp_extract_all("s.near", F.lit(TERM), 0).alias("found"))
-    words = F.zip_with(spans(F.col("near"), F.col("found"), TERM, "term", len(KINDS)), "found", lambda w, f: F.struct(f.alias("term"), (w["start"] + F.col("lo")).alias("start"), (w["end"] + F.col("lo")).alias("end")))
-
-    def counts(w):  # whole (the cut may halve the outer words) and apart from all entities
-        whole = ((w["start"] > F.col("lo")) | (F.col("lo") == 0)) & ((w["end"] < F.col("lo") + F.col("length")) | (w["end"] == F.col("size")))
-        return whole & ~F.exists("all", lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"]))
-
-    rows = e.select("_row", "text", "entity", F.xxhash64("near").alias("context"), F.explode_outer(F.filter(words, counts)).alias("w"))
-    return rows.select("_row", "text", "entity", "context", ascii_lower(F.col("w.term")).alias("term"))
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(ascii_lower(text), F.lit(TERM), 0))
 
 
 def _words(held: DataFrame) -> DataFrame:
-    """(_row, term, start, end): all words of the texts, apart from those of entities."""
+    """(row, term, start, end): all words of the texts, apart from those of entities."""
     found = F.regexp_extract_all("_text", F.lit(TERM), 0)
     by_start = F.transform(F.array_sort("_spans"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     bounds = lambda b: F.struct(F.array_min(b)["start"].alias("start"), F.array_max(F.transform(b, lambda x: x["end"])).alias("end"), b.alias("all"))
     blocks = held_as(by_start, lambda a: F.transform(blocks_of(a, 128), bounds))
-    each = held.select("_row", "_text", found.alias("found"), blocks.alias("blocks"))
+    each = held.select("row", "_text", found.alias("found"), blocks.alias("blocks"))
     words = F.zip_with(spans(F.col("_text"), F.col("found"), TERM, "term", len(KINDS)), "found", lambda w, f: F.struct(f.alias("term"), w["start"].alias("start"), w["end"].alias("end")))
-    each = each.select("_row", "blocks", F.explode(words).alias("w"))
+    each = each.select("row", "blocks", F.explode(words).alias("w"))
     meets = lambda s: (s["start"] < F.col("w.end")) & (s["end"] > F.col("w.start"))
     apart = each.filter(~F.exists("blocks", lambda b: meets(b) & F.exists(b["all"], meets)))
-    return apart.select("_row", ascii_lower(F.col("w.term")).alias("term"), "w.start", "w.end")
+    return apart.select("row", ascii_lower(F.col("w.term")).alias("term"), "w.start", "w.end")
 
 
-def disclosures(rows: DataFrame, near: DataFrame, words: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """(entity, term) that exceed the threshold; all counts are over all documents, and both may stand anywhere in one.
+def disclosing(texts: DataFrame, held: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """(row, term): terms that disclose an entity of the row. texts has a _text for each document; held has the distinct rows with
+    entities: row, m (documents that share it), _text and _entities. Counts are of documents, over all of them.
 
-    Contexts are the surroundings of the entity that hold the term, or different texts that hold both. As n(e,t) <= n(e), only
-    terms with n(t) <= n(e) (N / n(e))^(1 - alpha) can exceed it, so only these meet the entity's documents.
+    Entities of the same documents are one, as all their counts are the same. A frequent term or entity is dealt out.
     """
-    total = rows.count()
-    holds = near.select("entity", "_row", "text").distinct()
-    n_e = holds.groupBy("entity").agg(F.count_distinct("_row").alias("n_e"))
-    terms = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(ascii_lower(F.col("_text")), F.lit(TERM), 0))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    most = F.col("n_e") * F.pow(F.lit(float(total)) / F.col("n_e"), F.lit(1 - alpha)) * (1 + 1e-9)
-    said = words.select("_row", "term").distinct().join(terms, "term")
-    both = holds.join(n_e, "entity").withColumn("most", most).join(said, "_row").filter(F.col("n_t") <= F.col("most"))
-    pairs = both.groupBy("entity", "term", "n_e", "n_t").agg(F.count_distinct("_row").alias("n_et"), F.count_distinct("text").alias("texts"))
-    seen = near.filter("term is not null").groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"))
-    known = pairs.join(seen, ["entity", "term"], "left").filter(F.greatest("texts", F.coalesce("contexts", F.lit(0))) >= support)
-    pmi = F.log2(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    ic = F.log2(F.lit(float(total)) / F.col("n_e"))
-    return known.filter((ic > 0) & (pmi >= alpha * ic)).select("entity", "term")
-
-
-def find_personal(docs: DataFrame, id_col: str = "doc_id", text: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+    total = texts.count()
+    said = cut(held.select("row", F.explode(_terms(F.col("_text"))).alias("term")), "said")
+    n_t = texts.select(F.explode(_terms(F.col("_text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    n_t = cut(n_t.join(said.select("term").distinct(), "term", "left_semi"), "terms")
+    said = cut(attach(said, n_t, "term", "n_t", n_t.agg(F.sum("n_t")).first()[0] or 0, "inner", "row").select("row", "term", "n_t"), "counted")
+    holds = cut(held.select("row", "m", F.explode("_entities").alias("entity")), "holds")
+    every = holds.groupBy("entity").agg(F.sum("m").alias("n_e"), F.count(F.lit(1)).alias("rows"), F.bit_xor("row.a").alias("a"), F.bit_xor("row.b").alias("b")).filter(F.col("n_e") < total)
+    every = cut(every.select("entity", "rows", "n_e", F.struct("n_e", "a", "b").alias("e")), "entities")
+    holds = attach(holds, every, "entity", "rows", holds.count(), "inner", "row")
+    holds = cut(holds.select("row", "m", "e", "n_e").distinct(), "held")
+    need = F.col("n_t") * F.pow(F.col("n_e") / F.lit(float(max(total, 1))), F.lit(1 - alpha)) * _EVEN
+    rarest = holds.groupBy("row").agg(F.min("n_e").alias("n_e"))
+    at_once = said.join(rarest, "row").filter(need <= 1).select("row", "term")
+    both = holds.join(said, "row").withColumn("need", need).filter((F.col("need") > 1) & (F.col("need") <= F.col("n_e")))
+    both = cut(both.select("row", "m", F.struct("e", "term").alias("pair"), "need"), "both")
+    told = both.groupBy("pair").agg(F.sum("m").alias("n_et"), F.count(F.lit(1)).alias("rows"), F.min("need").alias("least")).filter("n_et >= least").select("pair", "rows")
+    there = attach(both, cut(told, "told"), "pair", "rows", both.count(), "inner", "row")
+    return at_once.unionAll(there.select("row", "pair.term")).distinct()
+
+
+_SPANS = "array<struct<start:long,no:int,end:long,kind:string>>"
+
+
+def _found(docs: DataFrame, id_col: str, text: str, alpha: float) -> DataFrame:
+    """(row, id, base, spans), a row per row of docs."""
+    rows = docs.select(F.col(id_col).alias("_id"), text_of(text).alias("_text"), row_key(id_col, text).alias("row"))
+    has = F.size("_spans") > 0
+    marked = base_spans(rows, "_text").select("_id", "row", "_spans", F.when(has, F.col("_entities")).alias("_entities"), F.when(has, F.col("_text")).alias("_text"))
+    marked = cut(marked, "pii")  # texts are written where there is an entity
+    some = marked.filter("_text is not null").groupBy("row").agg(F.count(F.lit(1)).alias("m"), *[F.any_value(c).alias(c) for c in ("_text", "_spans", "_entities")])
+    held = cut(some, "texts")
+    words = cut(_words(held), "words")
+    extra = words.join(cut(disclosing(rows, held, alpha), "told"), ["row", "term"], "left_semi")
+    spot = F.struct("start", F.lit(len(KINDS)).alias("no"), "end", F.lit("term").alias("kind"))
+    more = extra.groupBy("row").agg(F.array_sort(F.collect_set(spot)).cast(_SPANS).alias("_terms"))
+    out = give(marked.select("_id", "row", "_spans"), cut(more, "more"))
+    return out.select("row", F.col("_id").alias("id"), F.col("_spans").alias("base"), F.concat("_spans", F.coalesce("_terms", F.array().cast(_SPANS))).alias("spans"))
+
+
+def find_personal(docs: DataFrame, id_col: str = "doc_id", text: str = "text", alpha: float = ALPHA) -> DataFrame:
     """One row per row of docs: id, base (array of start, no, end, kind) and spans (with disclosing terms as kind "term").
 
-    Null text is empty; null ids and repeated rows each give their row; an empty table gives none.
+    Null text is empty; null ids and repeated rows each give their row, and each counts as a document; an empty table gives none.
     Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), text_of(text).alias("_text"), row_key(id_col, text).alias("_row"))
-    marked = base_spans(rows, "_text")
-    held = cut(marked.filter(F.size("_spans") > 0), "pii")  # only these have a context; their texts are written once
-    near = cut(_context(held).distinct(), "near")
-    words = cut(_words(held.dropDuplicates(["_row"])), "words")
-    told = cut(disclosures(rows, near, words, alpha, support), "told")
-    there = near.select("entity", "_row").distinct().join(told, "entity").select("_row", "term").distinct()
-    extra = words.join(there, ["_row", "term"], "left_semi")
-    spot = F.struct("start", F.lit(len(KINDS)).alias("no"), "end", F.lit("term").alias("kind"))
-    more = extra.groupBy("_row").agg(F.array_sort(F.collect_set(spot)).alias("_terms"))
-    base = held.select("_row", "_spans").dropDuplicates(["_row"]).join(more, "_row", "left")
-    none = F.array().cast("array<struct<start:long,no:int,end:long,kind:string>>")
-    out = rows.select("_id", "_row").join(base, "_row", "left")
-    terms = F.transform(F.coalesce("_terms", none), lambda s: F.struct(s["start"].alias("start"), s["no"].alias("no"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return out.select(F.col("_id").alias(id_col), "_row", F.coalesce("_spans", none).alias("base"), F.concat(F.coalesce("_spans", none), terms).alias("spans"))
+    return _found(docs, id_col, text, alpha).select(F.col("id").alias(id_col), "base", "spans")
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text: str = "text", terms: str = "generalise") -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text: str = "text", terms: str = "generalise", alpha: float = ALPHA) -> DataFrame:
     """docs with entities replaced by ``<KIND>`` and disclosing terms by ``<TERM>``, or removed (terms="remove").
 
-    Overlapping spans are replaced once, by the one that starts first. Null text stays null.
+    Spans that overlap are replaced together, by the kind that starts first. Null text stays null. All columns stay, whatever their names.
     """
-    found = find_personal(docs, id_col, text).filter(F.size("spans") > 0).select(F.col("_row").alias("_k"), "spans").dropDuplicates(["_k"])
-    df = docs.withColumn("_k", row_key(id_col, text)).join(found, "_k", "left")
-    t = F.col(text)
-
-    def step(acc, s):
-        mark = F.when(s["kind"] == "term", F.lit("<TERM>" if terms == "generalise" else "")).otherwise(F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
-        between = F.substring(t, (acc["pos"] + 1).cast("int"), (s["start"] - acc["pos"]).cast("int"))
-        changed = F.struct(s["end"].alias("pos"), F.concat(acc["out"], between, mark).alias("out"))
-        return F.when(s["start"] >= acc["pos"], changed).otherwise(acc)
-
-    clean = F.aggregate(F.array_sort("spans"), F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(t, (a["pos"] + 1).cast("int"), F.length(t))))
-    return df.withColumn(text, F.when(F.size("spans") > 0, clean).otherwise(t)).drop("_k", "spans")
+    each = _found(docs, id_col, text, alpha).filter(F.size("spans") > 0).select("row", "spans").dropDuplicates(["row"]).select("row", F.explode("spans").alias("s"))
+    before = Window.partitionBy("row").orderBy("s.start", "s.no").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("new", (F.col("s.start") >= F.coalesce(F.max("s.end").over(before), F.lit(0))).cast("int"))
+    each = each.withColumn("group", F.sum("new").over(Window.partitionBy("row").orderBy("s.start", "s.no").rowsBetween(Window.unboundedPreceding, 0)))
+    one = each.groupBy("row", "group").agg(F.min(F.struct("s.start", "s.no", "s.kind")).alias("first"), F.max("s.end").alias("end"))
+    key, other, found = own(docs, "_row", "_match", "_found")
+    held = one.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("first.start", "end", "first.kind"))).alias(found)).withColumnRenamed("row", other)
+    df = docs.withColumn(key, row_key(id_col, text)).join(cut(held, "replaced"), F.col(key) == F.col(other), "left")
+    tiles = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{TILE}}}"), 0)
+
+    def piece(c, a, b):
+        """The text from a to b, from the tiles that hold it."""
+        first = F.floor(a / TILE).cast("int")
+        some = F.array_join(F.slice(c["tiles"], first + 1, F.greatest(F.floor((b - 1) / TILE).cast("int") - first + 1, F.lit(0))), "")
+        return F.substring(some, (a - first * TILE + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+
+    def rebuilt(c):
+        ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(c["found"], lambda s: s["end"]))
+        mark = lambda s: F.when(s["kind"] == "term", F.lit("<TERM>" if terms == "generalise" else "")).otherwise(F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+        parts = F.zip_with(c["found"], F.slice(ends, 1, F.size(c["found"])), lambda s, a: F.concat(piece(c, a, s["start"]), mark(s)))
+        return F.concat(F.array_join(parts, ""), piece(c, F.element_at(ends, -1), c["size"]))
+
+    clean = held_as(F.struct(tiles.alias("tiles"), F.col(found).alias("found"), F.length(text).cast("long").alias("size")), rebuilt)
+    return df.withColumn(text, F.when(F.col(found).isNotNull(), clean).otherwise(F.col(text))).drop(key, other, found)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
