@@ -201,29 +201,32 @@ def test_components_of_a_chain(spark):
     assert {r.node: r.component for r in components(links).collect()} == {i: 0 for i in range(1, 41)} | {101: 100}
 
 
-def line_brute(rows, least=5):
-    seen, variants, near, first = [], {}, set(), {}
+def one_edit(a, b):
+    """One letter put in, left out or changed, or two neighbours swapped."""
+    if abs(len(a) - len(b)) > 1 or a == b:
+        return a == b
+    k = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    if len(a) == len(b):
+        return a[k + 1 :] == b[k + 1 :] or (a[k : k + 2] == b[k : k + 2][::-1] and a[k + 2 :] == b[k + 2 :])
+    return a[k + 1 :] == b[k:] if len(a) > len(b) else a[k:] == b[k + 1 :]
+
+
+def line_brute(rows, letters=10):
+    seen, near, first = [], set(), {}
+    plain = lambda x: " ".join(w.decode() for w in x.encode().split())
     ordered = sorted({(i, t) for i, t, *_ in rows}, key=lambda r: (r[0] is None, r[0]))
     for i, t in ordered:
         for k, x in enumerate((t or "").split("\n")):
-            w = tuple(x.encode().split())
+            w = plain(x)
             if w and w not in first:
                 first[w] = (i, t, k)
-                seen.append(w)
-    for b, w in enumerate(seen):
-        for a in seen[:b]:
-            if min(len(w), len(a)) >= least and abs(len(w) - len(a)) <= 1:
-                s, g = sorted((w, a), key=len)
-                if len(s) == len(g):
-                    hit = sum(x != y for x, y in zip(s, g)) == 1
-                else:
-                    hit = any(g[:k] + g[k + 1 :] == s for k in range(len(g)))
-                if hit:
+                if any(max(len(w), len(a)) >= letters and one_edit(a, w) for a in seen):
                     near.add(w)
+                seen.append(w)
     out = []
     for i, t, *_ in rows:
         parts = (t or "").split("\n")
-        kept = [x for k, x in enumerate(parts) if not (w := tuple(x.encode().split())) or (first[w] == (i, t, k) and w not in near)]
+        kept = [x for k, x in enumerate(parts) if not (w := plain(x)) or (first[w] == (i, t, k) and w not in near)]
         out.append((i, None if t is None else "\n".join(kept), 0 if t is None else len(parts), len(parts) - len(kept)))
     return out
 
@@ -231,22 +234,40 @@ def line_brute(rows, least=5):
 def test_lines(spark, awkward):
     rng = random.Random(4)
     rows = list(awkward)
-    for i in range(200, 220):
-        w = sentence(random.Random(i % 3), 12, 500).split()
+    for i in range(200, 240):
+        w = list(sentence(random.Random(i % 4), 6, 500))
         for _ in range(rng.randrange(3)):
-            k = rng.randrange(len(w))
-            w[k : k + rng.randrange(2)] = rng.choice([[], ["new"], ["other"]])
-        rows.append((i, "\n".join([" ".join(w), "", "aa  bb\tcc", f"tiny {i % 4}"])))
-    assert Counter(got(lines.drop_lines(table(spark, rows)), "doc_id", "text", "n_lines", "n_removed")) == Counter(line_brute(rows))
+            k = rng.randrange(len(w) - 1)
+            w[k : k + 2] = rng.choice([w[k : k + 2][::-1], w[k], w[k : k + 2] + ["q"], [w[k], "é"], w[k + 1]])
+        rows.append((i, "\n".join(["".join(w), "", "aa  bb\tcc", f"tiny {i % 4}", rng.choice(["teh quick fox", "the quick fox", "a b c d hello", "a b c d zzzzzz", "aaaaaaaaaaaa", "aaaaaaaaaaa", "aaaabaaaaaaa"])])))
+    out = got(lines.drop_lines(table(spark, rows)), "doc_id", "text", "n_lines", "n_removed")
+    assert Counter(out) == Counter(line_brute(rows))
     assert lines.drop_lines(table(spark, [])).count() == 0
 
 
-def test_lines_hot_and_shuffled(spark, monkeypatch):
-    from planforge.llm import common
+def test_lines_of_every_edit(spark):
+    """All lines one edit away from a line are found, whatever the place; those two letters away are not."""
+    base, rows = "the quick brown fox", []
+    swaps = [base[:k] + base[k + 1] + base[k] + base[k + 2 :] for k in range(len(base) - 1)]
+    edits = swaps + [base[:k] + base[k + 1 :] for k in range(len(base))] + [base[:k] + "z" + base[k + 1 :] for k in range(len(base))] + [base[:k] + "z" + base[k:] for k in range(len(base) + 1)]
+    for i, e in enumerate(x for x in edits if x == " ".join(x.split())):
+        digits = f" {i:03d}"[::-1] * 4
+        rows += [(2 * i, base + digits), (2 * i + 1, e + digits), (1000 + i, e[:-2] + "##" + digits)]
+    assert Counter(got(lines.drop_lines(table(spark, rows)), "doc_id", "text", "n_lines", "n_removed")) == Counter(line_brute(rows))
 
+
+def test_lines_of_a_long_document(spark):
+    rng = random.Random(15)
+    text = "\n".join(f"{rng.getrandbits(96):x} {rng.getrandbits(96):x}" if i % 10 else "the same line again" for i in range(100_000))
+    out = lines.drop_lines(table(spark, [(1, text), (2, "x" * 60_000 + " end"), (3, "x" * 60_001 + " end")])).collect()
+    found = {r.doc_id: r.n_removed for r in out}
+    assert found[1] >= 9_999 and found[2] == 0 and found[3] == 1
+
+
+def test_lines_hot_and_shuffled(spark, monkeypatch):
     monkeypatch.setattr(common, "SMALL", 0)
+    monkeypatch.setattr(lines, "SMALL", 0)
     monkeypatch.setattr(common, "LEAST_HOT", 3)
-    monkeypatch.setattr(common, "few", lambda df: df)
     monkeypatch.setattr(lines, "few", lambda df: df)
     rows = [(i, f"same line here for all of us\none of the numbered lines is {i}\nlast") for i in range(25)]
     assert Counter(got(lines.drop_lines(table(spark, rows)), "doc_id", "text", "n_lines", "n_removed")) == Counter(line_brute(rows))
