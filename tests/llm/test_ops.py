@@ -608,7 +608,31 @@ def test_quality_held_out(spark):
     seen = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(3)) > 0)
     out = quality.resample(docs, seen).join(labels.join(seen, "doc_id", "left_anti"), "doc_id")
     kept = {(r.quality, r.toxic): r.k for r in out.groupBy("quality", "toxic").agg(F.avg(F.col("selected").cast("int")).alias("k")).collect()}
-    assert kept[1, 0] > 0.97 and kept[0, 0] < 0.1 and kept[1, 1] < 0.75
+    assert kept[1, 0] > 0.98 and kept[0, 0] < 0.05 and kept[1, 1] < 0.45
+
+
+def test_quality_weights(spark):
+    """Both models by brute force, over n-grams as text; rare and frequent ones, either sign."""
+    rng, rows = random.Random(16), []
+    for i in range(60):
+        rows.append((i, " ".join(rng.choices(["good", "fine", "Plain", "é", "common", "bad", "worse"], [9, 6, 5, 2, 5, i % 3, i % 3], k=30)) + (" x x x x" if i % 5 == 0 else "")))
+    rows += [(60, None), (61, ""), (None, rows[0][1]), (0, rows[0][1])]
+    labels = [(i, int(i % 3 == 0), 0) for i in range(60)]
+    out = quality.log_weights(table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+
+    def grams(t):
+        w = (t or "").translate(LOW).encode().split()
+        pairs = ["thrice" if i + 2 < len(w) and w[i] == w[i + 1] == w[i + 2] else (w[i], w[i + 1]) for i in range(len(w) - 1)]
+        return [("word", x) for x in w] + [("pair", x) for x in pairs] + [("head", x[: quality.HEAD]) for x in w]
+
+    fit = {r.id for r in out if r.good and r.fit}
+    assert 5 < len(fit) < 20
+    raw, target = Counter(g for _, t in rows for g in grams(t)), Counter(g for i, t in rows for g in grams(t) if i in fit)
+    share = {k: sum(n for g, n in target.items() if g[0] == k) / sum(n for g, n in raw.items() if g[0] == k) for k in ("word", "pair", "head")}
+    weight = {g: math.log((target[g] + quality.PRIOR) / (n * share[g[0]] + quality.PRIOR)) for g, n in raw.items()}
+    assert min(weight.values()) < -0.5 < 0.1 < max(weight.values())
+    want = Counter((i, round(sum(weight[g] for g in grams(t)), 3)) for i, t in rows)
+    assert Counter((r.id, round(r.log_weight, 3)) for r in out) == want or all(abs(r.log_weight - sum(weight[g] for g in grams(dict(rows)[r.id]))) < 0.01 for r in out if r.id is not None)
 
 
 def test_quality_awkward(spark, awkward):
