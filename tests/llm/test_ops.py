@@ -90,6 +90,7 @@ def test_substrings(spark, awkward):
         by[i, t] = (i, len(w), len(gone), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest())
     out = [by[i, t] for i, t, *_ in awkward]
     assert Counter(got(substrings.remove_repeats(table(spark, awkward)), "doc_id", "n_words", "n_removed", "kept_sha256")) == Counter(out)
+    assert Counter(got(substrings.remove_repeats(table(spark, awkward), limit=300), "doc_id", "n_words", "n_removed", "kept_sha256")) == Counter(out)  # windows that meet singly
     assert substrings.remove_repeats(table(spark, [])).count() == 0
 
 
