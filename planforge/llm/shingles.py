@@ -20,8 +20,8 @@ from .components import components
 from .tokens import mixed
 
 SIZE, BANDS, ROWS, SEED = 5, 20, 5, 42
-#: Members of a key that meet in one task; the ones before it that each of them is compared with.
-CHUNK, BEFORE = 64, 16
+#: Members of a key that meet in one task; the ones before it that each of them is compared with, the nearest first: what that ties needs no more comparison.
+CHUNK, BEFORE = 64, (4, 9, 16)
 _TIMES = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -75,29 +75,34 @@ def ties(prints: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     """(a, b) that tie fingerprints of texts that are alike.
 
     prints: row, fp, s (digest of the set), size (of the set), bands. texts: row, t. All members of a key are compared with its
-    least; then those that this has left in different components, in chunks of CHUNK or so: each with the
-    BEFORE before it, which is every one if a key has no more members than that.
+    least; then those that this has left in different components, in chunks of CHUNK or so: each with those
+    before it, by passes, which is every one if a key has no more members than the last of BEFORE.
     """
     known = prints.filter(F.col("size") > 0)
     by_print = cut(known.groupBy("s", "fp").agg(F.min("row").alias("row"), F.min("size").alias("size"), F.any_value("bands").alias("bands")), "members")
     one = by_print.groupBy("s").agg(F.min(F.struct("fp", "row")).alias("m"), F.count(F.lit(1)).alias("n"))
     equal = by_print.join(one.filter("n > 1"), "s").select(F.col("m.fp").alias("a"), F.col("fp").alias("b")).filter("a <> b")
     members = by_print.join(one.select("s", F.col("m.fp").alias("fp")), ["s", "fp"])
-    every = members.select("s", "fp", "row", "size", F.explode("bands").alias("key"))
+    every = members.select("s", "fp", "size", F.explode("bands").alias("key"))
     shared = cut(every.groupBy("key").agg(F.min(F.struct("s", "fp", "size")).alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
     mine = cut(attach(every, shared, "key", "n", members.count() * BANDS, "inner", "s"), "mine")
-    wanted = cut(mine.groupBy("s").agg(F.min("row").alias("row")), "wanted")
+    wanted = cut(members.select("s", "row").join(mine.select("s").distinct(), "s", "left_semi"), "wanted")
     sets = cut(texts.join(few(wanted), "row").select("s", "t").dropDuplicates(["s"]).mapInArrow(_sets, "s long, set array<long>"), "sets")
     star = mine.filter("lead.s <> s").select(F.col("lead.s").alias("a"), F.col("s").alias("b"), F.col("lead.fp").alias("fa"), F.col("fp").alias("fb"), F.col("lead.size").alias("na"), F.col("size").alias("nb"))
-    first = _alike(star, sets, similar)
-    placed = components(first.select("a", "b")).withColumnRenamed("node", "s")
-    left = mine.select("key", "n", "s", "fp", "size").join(placed, "s", "left").withColumn("component", F.coalesce("component", "s"))
-    left = cut(left, "placed")
-    parted = cut(left.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key"), "parted")
-    left = left.join(few(parted), "key", "left_semi").withColumn("chunk", F.pmod(F.xxhash64("s"), F.ceil(F.col("n") / CHUNK)))
-    ahead = F.collect_list(F.struct("s", "fp", "size", "component")).over(Window.partitionBy("key", "chunk").orderBy(F.xxhash64("key", "s"), "s").rowsBetween(-BEFORE, -1))
-    rest = left.withColumn("ahead", ahead).withColumn("o", F.explode(F.filter("ahead", lambda o: o["component"] != F.col("component"))))
-    mine_less = F.col("s") < F.col("o.s")
-    ends = [F.when(mine_less if first_ else ~mine_less, F.col(c)).otherwise(F.col(f"o.{c}")).alias(name) for c, names in (("s", "ab"), ("fp", ("fa", "fb")), ("size", ("na", "nb"))) for name, first_ in zip(names, (True, False))]
-    second = _alike(rest.select(*ends), sets, similar)
-    return first.select(F.col("fa").alias("a"), F.col("fb").alias("b")).unionAll(second.select("fa", "fb")).unionAll(equal)
+    found, nearer = _alike(star, sets, similar), 0
+    for upto in BEFORE:
+        placed = components(found.select("a", "b")).withColumnRenamed("node", "s")
+        left = mine.select("key", "n", "s", "fp", "size").join(placed, "s", "left").withColumn("component", F.coalesce("component", "s"))
+        left = cut(left, "placed")
+        parted = cut(left.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key"), "parted")
+        if parted.isEmpty():
+            break
+        # all members keep their place in the chunk's order, so each pass takes up where the last one ended
+        left = left.join(few(parted), "key", "left_semi").withColumn("chunk", F.pmod(F.xxhash64("s"), F.ceil(F.col("n") / CHUNK)))
+        ahead = F.collect_list(F.struct("s", "fp", "size", "component")).over(Window.partitionBy("key", "chunk").orderBy(F.xxhash64("key", "s"), "s").rowsBetween(-upto, -nearer - 1))
+        fits = lambda o: F.least(o["size"], F.col("size")) >= F.lit(similar) * F.greatest(o["size"], F.col("size"))
+        rest = left.withColumn("ahead", ahead).withColumn("o", F.explode(F.filter("ahead", lambda o: (o["component"] != F.col("component")) & fits(o))))
+        mine_less = F.col("s") < F.col("o.s")
+        ends = [F.when(mine_less if first_ else ~mine_less, F.col(c)).otherwise(F.col(f"o.{c}")).alias(name) for c, names in (("s", "ab"), ("fp", ("fa", "fb")), ("size", ("na", "nb"))) for name, first_ in zip(names, (True, False))]
+        found, nearer = cut(found.unionAll(_alike(rest.select(*ends), sets, similar)), "found"), upto
+    return found.select(F.col("fa").alias("a"), F.col("fb").alias("b")).unionAll(equal)
