@@ -25,7 +25,7 @@ from .tokens import LOWER, Joined, batches, grams, mixed
 #: Kinds of n-grams: words, pairs of words, first HEAD bytes of words.
 KINDS, HEAD = 3, 4
 #: Buckets of each kind: one for PER bytes of the corpus, a power of two between these.
-LEAST, MOST, PER = 1 << 17, 1 << 19, 1024
+LEAST, MOST, PER = 1 << 17, 1 << 18, 2048
 #: The target model is fitted to at most so many labelled documents (those with the least hashes); others set the thresholds.
 MAX_LABELLED = 100_000
 #: PRIOR: n-grams that each bucket is taken to have beside those counted, in both models, so rare ones weigh little.
