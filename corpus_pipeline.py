@@ -1,4 +1,9 @@
-"""Five stages from raw documents to a mixed corpus; each is one operator of planforge.llm."""
+"""Five stages from raw documents to a mixed corpus; each is one operator of planforge.llm.
+
+In all stages null and empty texts are clean, and rows are told by id and text together: a null id, or one that several
+texts share, is no reason to go. Rows that repeat both go or stay together, but for near-dedup, after which one is left.
+Empty tables pass through; columns beside those of documents are not kept.
+"""
 
 from __future__ import annotations
 

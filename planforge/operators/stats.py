@@ -75,17 +75,28 @@ def has_histogram(dtype: T.DataType, cardinality: int) -> bool:
 def physical_order(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, is_ordered): no value is above its successor, in the order of files and of rows in them.
 
-    The window runs within a file; between files only the first and last rows are compared.
+    All columns in one pass. The window runs within a file; between files only the first and last rows are compared.
     """
-    at = Window.partitionBy("f").orderBy("i")
-    out = None
-    for c in columns:
-        rows = df.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"), F.col(f"`{c}`").alias("x"))
-        files = rows.withColumn("falls", F.lag("x").over(at) > F.col("x")).groupBy("f").agg(
-            F.coalesce(F.bool_or("falls"), F.lit(False)).alias("falls"), F.min_by("x", "i").alias("first"), F.max_by("x", "i").alias("last"),
-        )
-        edges = Window.orderBy("f")  # one row a file
-        files = files.withColumn("falls", F.col("falls") | F.coalesce(F.lag("last").over(edges) > F.col("first"), F.lit(False)))
-        one = files.agg((~F.coalesce(F.bool_or("falls"), F.lit(False))).alias("is_ordered")).select(F.lit(c).alias("column_name"), "is_ordered")
-        out = one if out is None else out.unionAll(one)
+    at, edges = Window.partitionBy("f").orderBy("i"), Window.orderBy("f")
+    x = [f"x{k}" for k in range(len(columns))]
+    rows = df.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"), *[F.col(f"`{c}`").alias(n) for c, n in zip(columns, x)])
+    rows = rows.withColumns({f"falls{n}": F.coalesce(F.lag(n).over(at) > F.col(n), F.lit(False)) for n in x})
+    ends = [e for n in x for e in (F.bool_or(f"falls{n}").alias(f"falls{n}"), F.min_by(n, "i").alias(f"first{n}"), F.max_by(n, "i").alias(f"last{n}"))]
+    files = rows.groupBy("f").agg(*ends)  # one row a file
+    files = files.withColumns({f"falls{n}": F.col(f"falls{n}") | F.coalesce(F.lag(f"last{n}").over(edges) > F.col(f"first{n}"), F.lit(False)) for n in x})
+    one = files.agg(*[(~F.coalesce(F.bool_or(f"falls{n}"), F.lit(False))).alias(n) for n in x])
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(n).alias("is_ordered")) for c, n in zip(columns, x)])
+    return one.select(F.explode(pairs).alias("p")).select("p.column_name", "p.is_ordered")
+
+
+def column_stats(df: DataFrame) -> dict[str, dict]:
+    """profile() of a stored table, with by column is_ordered and, where has_histogram() says so, histogram: (lower, upper, frequency) by bucket."""
+    out = profile(df)
+    if not out:
+        return {}
+    ordered = {r["column_name"]: r["is_ordered"] for r in physical_order(df, list(out)).collect()}
+    for name, found in out.items():
+        found["is_ordered"] = ordered[name]
+        if has_histogram(df.schema[name].dataType, found["cardinality"]):
+            found["histogram"] = [tuple(r)[1:] for r in sorted(histogram(df, name).collect(), key=lambda r: r["bucket"])]  # BUCKETS rows at most
     return out

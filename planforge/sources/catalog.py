@@ -19,6 +19,23 @@ def type_name(dtype: T.DataType) -> str:
     return next((n for n, t in TYPES.items() if t == dtype), "String")
 
 
+def _datum(value, dtype: T.DataType):
+    name = type_name(dtype)
+    return {name: str(value) if name == "String" else value}
+
+
+def stat_list(found: dict, dtype: T.DataType) -> list:
+    """Statistics of a column, as column_stats() has them, in the form that the catalog's JSON gives them."""
+    bounds = lambda lo, hi: {"lower_bound": _datum(lo, dtype), "upper_bound": _datum(hi, dtype)}
+    out: list = ["IsPhysicallyOrdered"] if found.get("is_ordered") else []
+    if "lower_bound" in found and found["lower_bound"] is not None:
+        out.append({"RangeStat": bounds(found["lower_bound"], found["upper_bound"])})
+    out += [{"CardinalityStat": found["cardinality"]}, {"DensityStat": found["density"]}]
+    if found.get("histogram"):
+        out.append({"HistogramStat": {"frequency_points": [[bounds(lo, hi), n] for lo, hi, n in found["histogram"]]}})
+    return out
+
+
 class Catalog:
     """Maps names to Parquet folders or to functions that make a DataFrame; reading is lazy."""
 
@@ -45,9 +62,10 @@ class Catalog:
             raise
 
     def describe(self, name: str, stats: dict | None = None) -> dict:
-        """Table spec: name and columns with type and, if given by column, statistics."""
+        """Table spec: name and columns with type and, if given by column as column_stats() has them, statistics."""
         fields = self.table(name).schema.fields
-        columns = [{"column_name": f.name, "data_type": type_name(f.dataType), "stats": (stats or {}).get(f.name)} for f in fields]
+        known = {f.name: stat_list(stats[f.name], f.dataType) for f in fields if f.name in (stats or {})}
+        columns = [{"column_name": f.name, "data_type": type_name(f.dataType), "stats": known.get(f.name)} for f in fields]
         self.specs[name] = {"name": name, "file_id": name, "column_specs": columns}
         return self.specs[name]
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.stats import column_stats
+from .catalog import Catalog
+
 #: Type tokens of a schema file; any letter case.
 TOKENS = {"I32": T.IntegerType(), "I64": T.LongType(), "FLOAT32": T.FloatType(), "FLOAT64": T.DoubleType(), "STRING": T.StringType()}
 
@@ -34,11 +39,14 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 
 def discover(spark: SparkSession, folder: str) -> list[str]:
-    """Names that have both files; listed by Hadoop, so any store that Spark reads will do."""
+    """Names that have both files, with a warning for others; listed by Hadoop, so any store that Spark reads will do."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(folder)
     names = {s.getPath().getName() for s in at.getFileSystem(conf).listStatus(at)}
-    return sorted(n[:-4] for n in names if n.endswith(".csv") and f"{n[:-4]}.schema" in names)
+    found = sorted(n[:-4] for n in names if n.endswith(".csv"))
+    if lone := [n for n in found if f"{n}.schema" not in names]:
+        logging.getLogger(__name__).warning("no schema, skipped: %s", ", ".join(lone))
+    return [n for n in found if n not in lone]
 
 
 def load_dataset(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -54,3 +62,14 @@ def write_dataset(tables: dict[str, DataFrame], target: str) -> None:
     """The compiled form of a dataset: one Parquet folder a table."""
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{target}/{name}.parquet")
+
+
+def compile_dataset(spark: SparkSession, folder: str, target: str) -> Catalog:
+    """A dataset's folder compiled: Parquet tables in ``target``, and their catalog with all columns' statistics, also written to ``target``/catalog.json."""
+    tables = load_dataset(spark, folder)
+    write_dataset(tables, target)
+    out = Catalog(spark, target)
+    for name in tables:
+        out.describe(name, column_stats(out.table(name)))
+    spark.createDataFrame([(out.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{target}/catalog.json")
+    return out

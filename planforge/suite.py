@@ -201,15 +201,29 @@ def _trace(spark: SparkSession, d: str) -> DataFrame:
     return io_cost(lines.select(F.col("l_suppkey").alias("disk_id"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("seq"), (F.col("l_partkey") * 64).alias("start"), F.col("l_quantity").cast("long").alias("n"))).drop("seq")
 
 
+def _sketched(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the statistics' distinct count, a sketch where there are many values, is within four of its errors."""
+    df = catalog(spark, d).table("lineitem")
+    found = profile(df, ["l_orderkey"])["l_orderkey"]["cardinality"]
+    exact = F.count_distinct("l_orderkey")
+    return df.agg(F.lit("l_orderkey").alias("column_name"), exact.alias("exact"), (F.abs(F.lit(found) - exact) <= 0.065 * exact).alias("within"))
+
+
+_ORDER_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, NOT coalesce(bool_or(falls), FALSE) AS is_ordered FROM (SELECT lag({c}) OVER (ORDER BY i) > {c} AS falls FROM (SELECT {c}, row_number() OVER () AS i FROM customer))"
+    for c in ("c_custkey", "c_name", "c_acctbal")
+)
+
+
 #: Queries that are no plans: (function, SQL or None).
 FUNCTIONS: dict[str, tuple[Callable, str | None]] = {
     "stats_count": (lambda s, d: _stats(s, d, "orders", "o_orderkey", ["total_count"]).select(F.lit("orders").alias("table_name"), "total_count"), "SELECT 'orders' AS table_name, count(*) AS total_count FROM orders"),
     "stats_range": (lambda s, d: _stats(s, d, "orders", "o_totalprice", ["lower_bound", "upper_bound"]), "SELECT min(o_totalprice) AS lower_bound, max(o_totalprice) AS upper_bound FROM orders"),
-    "stats_cardinality": (lambda s, d: catalog(s, d).table("lineitem").agg(F.count_distinct("l_partkey").alias("cardinality")), "SELECT count(DISTINCT l_partkey) AS cardinality FROM lineitem"),
-    "stats_cardinality_approx": (lambda s, d: catalog(s, d).table("lineitem").agg(F.approx_count_distinct("l_partkey", 0.01625).alias("cardinality")), None),
-    "stats_density": (lambda s, d: catalog(s, d).table("lineitem").agg(F.least(F.lit(1.0), F.count_distinct("l_partkey").cast("double") / F.count(F.lit(1)).cast("double")).alias("density")), "SELECT least(CAST(1 AS DOUBLE), CAST(count(DISTINCT l_partkey) AS DOUBLE) / CAST(count(*) AS DOUBLE)) AS density FROM lineitem"),
+    "stats_cardinality": (lambda s, d: _stats(s, d, "supplier", "s_name", ["cardinality"]), "SELECT count(DISTINCT s_name) AS cardinality FROM supplier"),
+    "stats_cardinality_approx": (_sketched, "SELECT 'l_orderkey' AS column_name, count(DISTINCT l_orderkey) AS exact, TRUE AS within FROM lineitem"),
+    "stats_density": (lambda s, d: _stats(s, d, "lineitem", "l_suppkey", ["density"]), "SELECT least(CAST(1 AS DOUBLE), CAST(count(DISTINCT l_suppkey) AS DOUBLE) / CAST(count(*) AS DOUBLE)) AS density FROM lineitem"),
     "stats_histogram": (lambda s, d: histogram(catalog(s, d).table("part"), "p_size"), "SELECT b AS bucket, min(x) AS lower_bound, max(x) AS upper_bound, count(*) AS frequency FROM (SELECT x, (rn - 1) // CAST(ceil(n / 10.0) AS BIGINT) AS b FROM (SELECT p_size AS x, row_number() OVER (ORDER BY p_size) AS rn, count(*) OVER () AS n FROM part)) GROUP BY b"),
-    "stats_physical_order": (lambda s, d: physical_order(catalog(s, d).table("customer"), ["c_custkey", "c_name", "c_acctbal"]), None),
+    "stats_physical_order": (lambda s, d: physical_order(catalog(s, d).table("customer"), ["c_custkey", "c_name", "c_acctbal"]), _ORDER_SQL),
     "io_cost_model": (_trace, None),
     "sink_pipe_text": (lambda s, d: text_lines(catalog(s, d).table("supplier").select("s_suppkey", "s_name", "s_acctbal")), "SELECT CAST(s_suppkey AS VARCHAR) || '|' || s_name || '|' || CAST(s_acctbal AS VARCHAR) || '|' AS line FROM supplier"),
 }

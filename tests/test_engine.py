@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from planforge.operators import histogram, io_cost, physical_order, profile, same_multiset, same_order, write_text
 from planforge.plans import F32, F64, I32, I64, Col, PlanError, Query, Str, compile_query, scan
-from planforge.sources import Catalog, load_dataset, write_dataset
+from planforge.sources import Catalog, compile_dataset, load_dataset, write_dataset
 from planforge.streaming import compile_stream
 
 SAMPLE = '{"root":{"Project":{"column_name_map":[["a1","id"],["b2","b2"]],"underlying":{"Sort":{"sort_specs":[{"column_name":"a2","ascending":true},{"column_name":"b2","ascending":false}],"underlying":{"Filter":{"predicates":[{"column_name":"b3","operator":"GTE","value":{"I32":0}}],"underlying":{"Filter":{"predicates":[{"column_name":"a1","operator":"EQ","value":{"Column":"b1"}}],"underlying":{"Cross":{"left":{"Scan":{"table_id":"A"}},"right":{"Scan":{"table_id":"B"}}}}}}}}}}}}}'
@@ -111,6 +111,23 @@ def test_ingest_and_sink(spark, tmp_path):
         load_dataset(spark, str(tmp_path))["tail"].collect()
 
 
+def test_compiled_dataset(spark, tmp_path, caplog):
+    """A folder becomes Parquet and a catalog with statistics that loads again."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "t.csv").write_text("".join(f"{i}|n{i % 3}|u{i}|{i % 7}.5|\n" for i in range(60)))
+    (tmp_path / "in" / "t.schema").write_text("k|s|u|d|\nI64|STRING|STRING|FLOAT64|\n")
+    (tmp_path / "in" / "lone.csv").write_text("1|\n")
+    compile_dataset(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert "lone" in caplog.text
+    text = spark.read.text(str(tmp_path / "out" / "catalog.json")).first()[0]
+    again = Catalog.load(spark, text, str(tmp_path / "out"))
+    assert again.table("t").count() == 60
+    k, s, u, d = (c["stats"] for c in again.specs["t"]["column_specs"])
+    assert k[:4] == ["IsPhysicallyOrdered", {"RangeStat": {"lower_bound": {"Int64": 0}, "upper_bound": {"Int64": 59}}}, {"CardinalityStat": 60}, {"DensityStat": 1.0}]
+    assert [p[1] for p in k[4]["HistogramStat"]["frequency_points"]] == [6] * 10 and k[4]["HistogramStat"]["frequency_points"][0][0] == {"lower_bound": {"Int64": 0}, "upper_bound": {"Int64": 5}}
+    assert s[0] == {"CardinalityStat": 3} and "HistogramStat" in s[2] and u == [{"CardinalityStat": 60}, {"DensityStat": 1.0}] and d[0]["RangeStat"]["upper_bound"] == {"Float64": 6.5}
+
+
 def test_float_text(spark):
     from planforge.functions import pipe_line
 
