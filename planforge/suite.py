@@ -215,6 +215,14 @@ _ORDER_SQL = " UNION ALL ".join(
 )
 
 
+_IO_SQL = """WITH t AS (SELECT l_suppkey AS disk_id, l_partkey * 64 AS start, CAST(l_quantity AS BIGINT) AS n, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS i FROM lineitem),
+c AS (SELECT *, lag(start + n - 1) OVER (PARTITION BY disk_id ORDER BY i) AS last, start // 4096 AS here, (start + n - 1) // 4096 AS there FROM t),
+k AS (SELECT *, abs(here - coalesce(last // 4096, 0)) AS dist FROM c),
+m AS (SELECT disk_id, start, n, CASE WHEN dist = 0 THEN CAST(0 AS DOUBLE) WHEN dist = 1 THEN CAST(0.8 AS DOUBLE) ELSE CAST(0.8 AS DOUBLE) + (CAST(18 AS DOUBLE) - CAST(0.8 AS DOUBLE)) * sqrt(least(CAST(1 AS DOUBLE), CAST(dist AS DOUBLE) / CAST(500000 AS DOUBLE))) END + CAST(0.8 AS DOUBLE) * (there - here) AS seek_ms,
+ CASE WHEN coalesce(last + 1 = start, FALSE) THEN CAST(0 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) * 60000 / 7200 END AS rotation_ms, CAST(n * 4096 AS DOUBLE) / CAST(1000000 AS DOUBLE) / CAST(150 AS DOUBLE) * 1000 AS transfer_ms FROM k)
+SELECT *, seek_ms + rotation_ms + transfer_ms AS total_ms FROM m"""
+
+
 #: Queries that are no plans: (function, SQL or None).
 FUNCTIONS: dict[str, tuple[Callable, str | None]] = {
     "stats_count": (lambda s, d: _stats(s, d, "orders", "o_orderkey", ["total_count"]).select(F.lit("orders").alias("table_name"), "total_count"), "SELECT 'orders' AS table_name, count(*) AS total_count FROM orders"),
@@ -224,7 +232,7 @@ FUNCTIONS: dict[str, tuple[Callable, str | None]] = {
     "stats_density": (lambda s, d: _stats(s, d, "lineitem", "l_suppkey", ["density"]), "SELECT least(CAST(1 AS DOUBLE), CAST(count(DISTINCT l_suppkey) AS DOUBLE) / CAST(count(*) AS DOUBLE)) AS density FROM lineitem"),
     "stats_histogram": (lambda s, d: histogram(catalog(s, d).table("part"), "p_size"), "SELECT b AS bucket, min(x) AS lower_bound, max(x) AS upper_bound, count(*) AS frequency FROM (SELECT x, (rn - 1) // CAST(ceil(n / 10.0) AS BIGINT) AS b FROM (SELECT p_size AS x, row_number() OVER (ORDER BY p_size) AS rn, count(*) OVER () AS n FROM part)) GROUP BY b"),
     "stats_physical_order": (lambda s, d: physical_order(catalog(s, d).table("customer"), ["c_custkey", "c_name", "c_acctbal"]), _ORDER_SQL),
-    "io_cost_model": (_trace, None),
+    "io_cost_model": (_trace, _IO_SQL),
     "sink_pipe_text": (lambda s, d: text_lines(catalog(s, d).table("supplier").select("s_suppkey", "s_name", "s_acctbal")), "SELECT CAST(s_suppkey AS VARCHAR) || '|' || s_name || '|' || CAST(s_acctbal AS VARCHAR) || '|' AS line FROM supplier"),
 }
 
