@@ -22,6 +22,8 @@ from .tokens import mixed
 SIZE, BANDS, ROWS, SEED = 5, 20, 5, 42
 #: Members of a key that meet in one task; the ones before it that each of them is compared with, the nearest first: what that ties needs no more comparison.
 CHUNK, BEFORE = 64, (4, 9, 16)
+#: Members of a shingle that meet those of other components in one place; a shingle of more is dealt out.
+PART = 2048
 _TIMES = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -71,12 +73,43 @@ def _alike(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     return cut(both.filter(met >= F.lit(similar) * every).select("a", "b", "fa", "fb"), "alike")
 
 
+def _crowded(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """Pairs for _alike() that hold all alike members (s, fp, size, component; s distinct) of different components.
+
+    Shingles are ordered by how many members have them, rare ones first. The first shingle that two alike sets of x and y
+    have in common stands, in both, so far ahead that what follows can make up similar / (1 + similar) * (x + y); only members that share such a
+    one are paired. In a shingle those outside its largest component meet all, so a crowd that is tied makes no pairs.
+    """
+    near = 1e-6  # rounding may only add pairs
+    every = cut(members.join(sets, "s").select("s", "fp", "size", "component", F.explode("set").alias("token")), "tokens")
+    counts = cut(every.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "counts")
+    ranked = attach(every, counts, "token", "df", every.count(), "inner", "s").withColumn("pos", F.row_number().over(Window.partitionBy("s").orderBy("df", "token")))
+    ahead = cut(ranked.filter((F.col("pos") <= F.col("size") - F.ceil(F.lit(similar) * F.col("size") - near) + 1) & (F.col("df") > 1)).drop("df"), "ahead")
+    by = ahead.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"))
+    of = by.groupBy("token").agg(F.max(F.struct("m", "component"))["component"].alias("main"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("parts"))
+    held = cut(attach(ahead, cut(of.filter("parts > 1").drop("parts"), "tokens"), "token", "all", ahead.count(), "inner", "s"), "held")
+    parts = F.ceil(F.col("all") / PART).cast("int")
+    here = held.withColumn("part", F.pmod(F.xxhash64("s"), parts).cast("int")).alias("x")
+    other = held.filter("component <> main").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).alias("y")
+    follow = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos")) + 1 >= F.lit(similar / (1 + similar)) * (F.col("x.size") + F.col("y.size")) - near
+    once = (F.col("x.component") == F.col("x.main")) | (F.col("x.s") < F.col("y.s"))
+    pairs = here.join(other, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.component") != F.col("y.component")) & once & follow)
+    return _ends(pairs, "x", "y")
+
+
+def _ends(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    """a, b, fa, fb, na, nb of pairs of x and y, the lesser s first."""
+    less = F.col(f"{x}.s") < F.col(f"{y}.s")
+    return pairs.select(*[F.when(less, F.col(f"{p}.{c}")).otherwise(F.col(f"{q}.{c}")).alias(name) for c, names in (("s", "ab"), ("fp", ("fa", "fb")), ("size", ("na", "nb"))) for name, p, q in zip(names, (x, y), (y, x))])
+
+
 def ties(prints: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     """(a, b) that tie fingerprints of texts that are alike.
 
     prints: row, fp, s (digest of the set), size (of the set), bands. texts: row, t. All members of a key are compared with its
     least; then those that this has left in different components, in chunks of CHUNK or so: each with those
-    before it, by passes, which is every one if a key has no more members than the last of BEFORE.
+    before it, by passes, which is every one if a key has no more members than the last of BEFORE, and one. Members of larger keys
+    that are still in different components are joined by their rare shingles, so no pair that shares a key is lost.
     """
     known = prints.filter(F.col("size") > 0)
     by_print = cut(known.groupBy("s", "fp").agg(F.min("row").alias("row"), F.min("size").alias("size"), F.any_value("bands").alias("bands")), "members")
@@ -89,20 +122,28 @@ def ties(prints: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     wanted = cut(members.select("s", "row").join(mine.select("s").distinct(), "s", "left_semi"), "wanted")
     sets = cut(texts.join(few(wanted), "row").select("s", "t").dropDuplicates(["s"]).mapInArrow(_sets, "s long, set array<long>"), "sets")
     star = mine.filter("lead.s <> s").select(F.col("lead.s").alias("a"), F.col("s").alias("b"), F.col("lead.fp").alias("fa"), F.col("fp").alias("fb"), F.col("lead.size").alias("na"), F.col("size").alias("nb"))
-    found, nearer = _alike(star, sets, similar), 0
-    for upto in BEFORE:
+    found = _alike(star, sets, similar)
+
+    def parted() -> DataFrame:
+        """Members of the keys whose members are in different components, with their components."""
         placed = components(found.select("a", "b")).withColumnRenamed("node", "s")
         left = mine.select("key", "n", "s", "fp", "size").join(placed, "s", "left").withColumn("component", F.coalesce("component", "s"))
         left = cut(left, "placed")
-        parted = cut(left.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key"), "parted")
-        if parted.isEmpty():
+        apart = cut(left.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key"), "parted")
+        return left.join(few(apart), "key", "left_semi")
+
+    for nearer, upto in zip((0, *BEFORE), BEFORE):
+        left = parted()
+        if left.isEmpty():
             break
         # all members keep their place in the chunk's order, so each pass takes up where the last one ended
-        left = left.join(few(parted), "key", "left_semi").withColumn("chunk", F.pmod(F.xxhash64("s"), F.ceil(F.col("n") / CHUNK)))
+        left = left.withColumn("chunk", F.pmod(F.xxhash64("s"), F.ceil(F.col("n") / CHUNK)))
         ahead = F.collect_list(F.struct("s", "fp", "size", "component")).over(Window.partitionBy("key", "chunk").orderBy(F.xxhash64("key", "s"), "s").rowsBetween(-upto, -nearer - 1))
         fits = lambda o: F.least(o["size"], F.col("size")) >= F.lit(similar) * F.greatest(o["size"], F.col("size"))
-        rest = left.withColumn("ahead", ahead).withColumn("o", F.explode(F.filter("ahead", lambda o: (o["component"] != F.col("component")) & fits(o))))
-        mine_less = F.col("s") < F.col("o.s")
-        ends = [F.when(mine_less if first_ else ~mine_less, F.col(c)).otherwise(F.col(f"o.{c}")).alias(name) for c, names in (("s", "ab"), ("fp", ("fa", "fb")), ("size", ("na", "nb"))) for name, first_ in zip(names, (True, False))]
-        found, nearer = cut(found.unionAll(_alike(rest.select(*ends), sets, similar)), "found"), upto
+        rest = left.withColumn("ahead", ahead).withColumn("y", F.explode(F.filter("ahead", lambda o: (o["component"] != F.col("component")) & fits(o)))).select(F.struct("s", "fp", "size").alias("x"), "y")
+        found = cut(found.unionAll(_alike(_ends(rest, "x", "y"), sets, similar)), "found")
+    else:
+        crowd = cut(parted().filter(F.col("n") > BEFORE[-1] + 1).select("s", "fp", "size", "component").distinct(), "crowd")
+        if not crowd.isEmpty():
+            found = found.unionAll(_alike(_crowded(crowd, sets, similar), sets, similar))
     return found.select(F.col("fa").alias("a"), F.col("fb").alias("b")).unionAll(equal)

@@ -197,6 +197,37 @@ def test_near_copies_of_pipeline(spark):
     assert kept == {i for i in range(120) if i % 3 != 1} | {200}
 
 
+@pytest.mark.parametrize("part", [2048, 3])
+def test_near_copies_in_a_crowd(spark, part, monkeypatch):
+    """Texts of one template share keys without being alike; the alike pairs among them, and chains of such, are all found."""
+    from planforge.llm import shingles
+
+    monkeypatch.setattr(shingles, "PART", part)
+    monkeypatch.setattr(shingles, "BEFORE", (1, 2))
+    rng, rows = random.Random(23), []
+    template = sentence(rng, 84, 5000).split()
+    for i in range(240):
+        w = template + sentence(rng, rng.randrange(30, 44), 5000).split()
+        rows.append((2 * i, " ".join(w)))
+        if i % 6 == 0:
+            more = w[:]
+            more[rng.randrange(90, len(w))] = "changed"
+            rows.append((2 * i + 1, " ".join(more[:-1] + ["end", "of", "it"])))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    least = {i: i for i in sets}
+    while True:
+        before = dict(least)
+        for a in sets:
+            for b in sets:
+                if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    least[a] = least[b] = min(least[a], least[b])
+        if before == least:
+            break
+    assert 150 < len(set(least.values())) < len(rows) - 30
+    out = simhash.near_groups(table(spark, rows), similar=0.8)
+    assert dict(got(out, "doc_id", "component_id")) == least
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     assert {r.node: r.component for r in components(links).collect()} == {i: 0 for i in range(1, 41)} | {101: 100}
