@@ -7,6 +7,7 @@ candidates, and their sets verify them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,10 @@ SIZE, BANDS, ROWS, SEED = 5, 20, 5, 42
 CHUNK, BEFORE = 64, (4,)
 #: Members of a shingle that meet those of other components in one place; a shingle of more is dealt out.
 PART = 2048
+#: Buckets of the counts by which a task tells rare shingles, 4 MB; with over LOAD shingles a bucket each is counted for itself, and the counts are joined.
+BUCKETS, LOAD = 1 << 20, 8
+#: Rounding may only add pairs.
+NEAR = 1e-6
 _TIMES = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -73,25 +78,62 @@ def _alike(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     return cut(both.filter(met >= F.lit(similar) * every).select("a", "b", "fa", "fb"), "alike")
 
 
+def _first(counts: np.ndarray, similar: float):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                b = whole.slice(lo, 256)
+                ends, values = b.column(4).offsets.to_numpy(), b.column(4).values.to_numpy()
+                rows, tokens, places = [], [], []
+                for i in range(b.num_rows):
+                    x = values[ends[i] : ends[i + 1]]
+                    seen = counts[x & (BUCKETS - 1)]
+                    order = np.lexsort((x, seen))[: len(x) - math.ceil(similar * len(x) - NEAR) + 1]
+                    shared = np.flatnonzero(seen[order] > 1)
+                    rows.append(np.full(len(shared), i))
+                    tokens.append(x[order[shared]])
+                    places.append(shared + 1)
+                if rows:
+                    at = pa.array(np.concatenate(rows))
+                    made = [pa.array(np.concatenate(x).astype(np.int64)) for x in (tokens, places)]
+                    yield pa.RecordBatch.from_arrays([*[b.column(j).take(at) for j in range(4)], *made], names=["s", "fp", "size", "component", "token", "pos"])
+
+    return find
+
+
+def _by_bucket(held: DataFrame, similar: float) -> DataFrame:
+    """The shingles that come first in their set, ordered by the counts of their buckets: no more than BUCKETS numbers, whatever the crowd, go to the tasks."""
+    found = held.select(F.explode("set").alias("token")).groupBy(F.col("token").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    counts = np.zeros(BUCKETS, np.int32)
+    counts[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    return held.select("s", "fp", "size", "component", "set").mapInArrow(_first(counts, similar), "s long, fp long, size long, component long, token long, pos long")
+
+
+def _by_shingle(held: DataFrame, similar: float) -> DataFrame:
+    """The shingles that come first in their set, ordered by their own counts."""
+    every = cut(held.select("s", "fp", "size", "component", F.explode("set").alias("token")), "tokens")
+    counts = cut(every.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "counts")
+    ranked = attach(every, counts, "token", "df", every.count(), "inner", "s").withColumn("pos", F.row_number().over(Window.partitionBy("s").orderBy("df", "token")).cast("long"))
+    return ranked.filter((F.col("pos") <= F.col("size") - F.ceil(F.lit(similar) * F.col("size") - NEAR) + 1) & (F.col("df") > 1)).drop("df")
+
+
 def _crowded(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     """Pairs for _alike() that hold all alike members (s, fp, size, component; s distinct) of different components.
 
-    Shingles are ordered by how many members have them, rare ones first. The first shingle that two alike sets of x and y
+    Shingles are ordered by how many members have them, or their buckets, rare ones first. The first shingle that two alike sets of x and y
     have in common stands, in both, so far ahead that what follows can make up similar / (1 + similar) * (x + y); only members that share such a
-    one are paired. In a shingle those outside its largest component meet all, so a crowd that is tied makes no pairs.
+    one are paired. Any order that is the same for all members will do. In a shingle those outside its largest component meet all, so a crowd that is tied makes no pairs.
     """
-    near = 1e-6  # rounding may only add pairs
-    every = cut(members.join(sets, "s").select("s", "fp", "size", "component", F.explode("set").alias("token")), "tokens")
-    counts = cut(every.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "counts")
-    ranked = attach(every, counts, "token", "df", every.count(), "inner", "s").withColumn("pos", F.row_number().over(Window.partitionBy("s").orderBy("df", "token")))
-    ahead = cut(ranked.filter((F.col("pos") <= F.col("size") - F.ceil(F.lit(similar) * F.col("size") - near) + 1) & (F.col("df") > 1)).drop("df"), "ahead")
+    held = cut(members.select("s", "fp", "size", "component").join(sets, "s"), "crowded")
+    total = held.agg(F.sum("size")).first()[0] or 0
+    ahead = cut(_by_bucket(held, similar) if total <= LOAD * BUCKETS else _by_shingle(held, similar), "ahead")
     by = ahead.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"))
     of = by.groupBy("token").agg(F.max(F.struct("m", "component"))["component"].alias("main"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("parts"))
     held = cut(attach(ahead, cut(of.filter("parts > 1").drop("parts"), "tokens"), "token", "all", ahead.count(), "inner", "s"), "held")
     parts = F.ceil(F.col("all") / PART).cast("int")
     here = held.withColumn("part", F.pmod(F.xxhash64("s"), parts).cast("int")).alias("x")
     other = held.filter("component <> main").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).alias("y")
-    follow = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos")) + 1 >= F.lit(similar / (1 + similar)) * (F.col("x.size") + F.col("y.size")) - near
+    follow = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos")) + 1 >= F.lit(similar / (1 + similar)) * (F.col("x.size") + F.col("y.size")) - NEAR
     once = (F.col("x.component") == F.col("x.main")) | (F.col("x.s") < F.col("y.s"))
     pairs = here.join(other, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.component") != F.col("y.component")) & once & follow)
     return _ends(pairs, "x", "y")

@@ -197,12 +197,13 @@ def test_near_copies_of_pipeline(spark):
     assert kept == {i for i in range(120) if i % 3 != 1} | {200}
 
 
-@pytest.mark.parametrize("part", [2048, 3])
-def test_near_copies_in_a_crowd(spark, part, monkeypatch):
+@pytest.mark.parametrize("part, load", [(2048, 8), (3, 8), (3, 0)])
+def test_near_copies_in_a_crowd(spark, part, load, monkeypatch):
     """Texts of one template share keys without being alike; the alike pairs among them, and chains of such, are all found."""
     from planforge.llm import shingles
 
     monkeypatch.setattr(shingles, "PART", part)
+    monkeypatch.setattr(shingles, "LOAD", load)
     monkeypatch.setattr(shingles, "BEFORE", (1, 2))
     rng, rows = random.Random(23), []
     template = sentence(rng, 84, 5000).split()
