@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: So many links, some 4 MB, may meet in one task: its steps need no shuffle. More stay distributed.
+WHOLE = 1 << 18
+
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """Ties neighbours to the least of each neighbourhood: those above the node (large), or those below it and itself."""
@@ -26,10 +29,12 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node that has a link; component is the least node reachable.
 
-    Links stay distributed: each step is a minimum per node (combined before the shuffle) and a join, and
+    Links stay distributed, unless they are WHOLE at most: each step is a minimum per node (combined before the shuffle) and a join, and
     their number never grows. Steps end when a round changes nothing, after about log(nodes) rounds.
     """
     now = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    if now.count() <= WHOLE:
+        now = now.coalesce(1)
     mark = None
     while True:
         after = cut(_star(_star(now, True), False), "links")
@@ -37,4 +42,4 @@ def components(links: DataFrame) -> DataFrame:
         state = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == mark:
             return after.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        now, mark = after, state
+        now, mark = after.coalesce(1) if state[0] <= WHOLE else after, state

@@ -229,8 +229,11 @@ def test_near_copies_in_a_crowd(spark, part, load, monkeypatch):
     assert dict(got(out, "doc_id", "component_id")) == least
 
 
-def test_components_of_a_chain(spark):
+@pytest.mark.parametrize("whole", [1 << 18, 5])
+def test_components_of_a_chain(spark, whole, monkeypatch):
+    monkeypatch.setattr("planforge.llm.components.WHOLE", whole)
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
+    assert components(links.limit(0)).count() == 0
     assert {r.node: r.component for r in components(links).collect()} == {i: 0 for i in range(1, 41)} | {101: 100}
 
 
