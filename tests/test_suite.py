@@ -54,3 +54,16 @@ def test_exact_beyond_the_sketch(spark, tmp_path, name):
     assert [tuple(r) for r in suite.queries()[name](spark, str(tmp_path)).collect()] == con.execute(SQL[name]).fetchall()
     found = profile(spark.read.parquet(str(tmp_path / "supplier.parquet")))["s_name"]["cardinality"]
     assert found != 60_000 and abs(found - 60_000) < 0.065 * 60_000
+
+
+@pytest.mark.parametrize("name", ["stats_cardinality", "stats_density"])
+@pytest.mark.parametrize("names", ["CAST(NULL AS STRING)", "id"])
+@pytest.mark.parametrize("rows", [0, 5])
+def test_exact_without_values(spark, tmp_path, name, names, rows):
+    """A table without rows, or with nulls only, is counted like any other."""
+    spark.range(rows).selectExpr(f"CAST({names} AS STRING) AS s_name").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.range(rows).selectExpr(f"CAST({names} AS BIGINT) AS l_suppkey").write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    for t in ("supplier", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert [tuple(r) for r in suite.queries()[name](spark, str(tmp_path)).collect()] == con.execute(SQL[name]).fetchall()
